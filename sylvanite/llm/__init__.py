@@ -4,9 +4,19 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import decontam, line_dedup, packing, token_counts
+    from . import decontam, line_dedup, lm_score, packing, token_counts, toxicity
 
-    return {f.__name__: f for f in (decontam.op1_decontamination, line_dedup.op2_line_dedup, token_counts.op5_token_counts, packing.op7_packing)}
+    return {
+        f.__name__: f
+        for f in (
+            decontam.op1_decontamination,
+            line_dedup.op2_line_dedup,
+            token_counts.op5_token_counts,
+            lm_score.op6_lm_scoring,
+            packing.op7_packing,
+            toxicity.op9_toxicity,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ computed once for each distinct word of a chunk. Windows of WINDOW words overlap
 text; a document's score is that of its highest window. Training is multiple-instance: in documents marked
 toxic the highest windows are the positive ones.
 
-The only thing fitted is the network, on at most `sample` labelled rows of each class, first by a hash of
+The only thing fitted is the network, on at most `sample` toxic and 3 * `sample` clean labelled rows, first by a hash of
 doc_id, and the first SAMPLE_CHARS characters of each; all texts are scored whole.
 
 A null or empty text is one empty window. Labels that are null or whose document is missing are not used;
@@ -244,13 +244,13 @@ def _held_out(column, folds: int = 5):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 1200) -> Network | None:
-    """Train on at most `sample` rows of each class that are not held out."""
+    """Train on at most `sample` toxic and 3 * `sample` clean rows that are not held out."""
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1)").where(~_held_out(F.col("id")))
     # ids first: only the sample's texts are read out of the join
     own = marks.groupBy("id").agg(F.max("y").alias("y"))
     pick = None
     for y in (0, 1):
-        few = own.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample)
+        few = own.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample if y else 3 * sample)
         pick = few if pick is None else pick.union(few)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, SAMPLE_CHARS).alias("text"))
     rows = texts.join(F.broadcast(pick), "id").groupBy("id", "y").agg(F.min("text").alias("text")).orderBy("id").collect()
