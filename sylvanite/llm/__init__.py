@@ -4,16 +4,18 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import decontam, line_dedup, lm_score, packing, token_counts, toxicity
+    from . import ann, decontam, licenses, line_dedup, lm_score, packing, token_counts, toxicity
 
     return {
         f.__name__: f
         for f in (
             decontam.op1_decontamination,
             line_dedup.op2_line_dedup,
+            ann.op4_nearest_neighbours,
             token_counts.op5_token_counts,
             lm_score.op6_lm_scoring,
             packing.op7_packing,
+            licenses.op8_license_scan,
             toxicity.op9_toxicity,
         )
     }

@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from ._run import cut, parallelism, table
 from ._text import BLANK, chunks, hashed, lowered, mix, spans
 
-MU, BASE = 200.0, 1.5
+MU, BASE = 1000.0, 1.5
 BITS_PER_ENTRY, PROBES, BLOCK_BITS, MAX_BITS = 12, 4, 1 << 15, 1 << 30
-RATE = 2e-6
+RATE = 2e-5
 CLASSES = 256
 END = np.uint64(0x1B873593CC9E2D51)
 ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
