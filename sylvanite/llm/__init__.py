@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import ann, decontam, licenses, line_dedup, lm_score, packing, token_counts, toxicity
+    from . import ann, decontam, licenses, line_dedup, lm_score, packing, repeats, token_counts, toxicity
 
     return {
         f.__name__: f
@@ -17,6 +17,7 @@ def queries() -> dict:
             packing.op7_packing,
             licenses.op8_license_scan,
             toxicity.op9_toxicity,
+            repeats.op10_repeats,
         )
     }
 
