@@ -4,13 +4,14 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from . import ann, decontam, licenses, line_dedup, lm_score, packing, repeats, token_counts, toxicity
+    from . import ann, decontam, jaccard, licenses, line_dedup, lm_score, packing, repeats, token_counts, toxicity
 
     return {
         f.__name__: f
         for f in (
             decontam.op1_decontamination,
             line_dedup.op2_line_dedup,
+            jaccard.op3_ngram_jaccard,
             ann.op4_nearest_neighbours,
             token_counts.op5_token_counts,
             lm_score.op6_lm_scoring,

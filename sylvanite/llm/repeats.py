@@ -131,6 +131,17 @@ def _bitmaps(batches):
         yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["block", "bits"])
 
 
+def membership(hashes: DataFrame, max_bits: int = MAX_BITS):
+    """A broadcast (bitmap, places) of the hashes' first `places` bits: at most 2**max_bits bits, about 16 for each hash below that."""
+    places = int(min(max_bits, max(16, int(16 * hashes.count() + 1).bit_length())))
+    x = F.shiftrightunsigned("h", 64 - places)
+    placed = hashes.select(F.shiftright(x, 15).alias("block"), x.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit"))
+    bits = np.zeros(1 << (places - 3), np.uint8)
+    for r in placed.repartition(parallelism(hashes), "block").sortWithinPartitions("block").mapInArrow(_bitmaps, "block long, bits binary").collect():
+        bits[r["block"] << 12 : (r["block"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast((bits, places))
+
+
 ROWS = "h long, doc long, tag long, first long, lead int, spare int, context binary"
 ROWS_ARROW = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("first", pa.int64()), ("lead", pa.int32()), ("spare", pa.int32()), ("context", pa.binary())])
 
@@ -349,14 +360,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
         raise ValueError(f"size is {2 * GRAM} at least")
     source = _source(docs, id_col, text_col).where(F.octet_length("text") >= size)
     counted = source.select("text").mapInArrow(_counts(size), "h long, n long, zero long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
-    often = cut(counted.select("h"))
-    places = int(min(MAX_BITS, max(16, int(16 * often.count() + 1).bit_length())))
-    x = F.shiftrightunsigned("h", 64 - places)
-    placed = often.select(F.shiftright(x, 15).alias("block"), x.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit"))
-    bits = np.zeros(1 << (places - 3), np.uint8)
-    for r in placed.repartition(parallelism(docs), "block").sortWithinPartitions("block").mapInArrow(_bitmaps, "block long, bits binary").collect():  # 2**28 bits at most
-        bits[r["block"] << 12 : (r["block"] + 1) << 12] = np.frombuffer(r["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast((bits, places))
+    shared = membership(cut(counted.select("h")))
     # settled runs carry no anchor; they are dealt by their text
     rows = source.mapInArrow(_contexts(shared, size), ROWS)
     key = F.when(F.col("lead") == -1, F.xxhash64("doc", "tag")).otherwise(F.col("h"))
