@@ -33,7 +33,9 @@ from ._text import BLANK, chunks, hashed, lowered, mix, ngrams, spans
 from .components import LINK, components
 from .line_dedup import LOWEST
 
-BUCKETS, BITS = 1 << 18, 1024
+BUCKETS = 1 << 18
+#: least and most bits of a token bitmap; between them it has two to four bits for each shingle
+BITS = 512, 1 << 16
 
 
 def _sets(column, k: int):
@@ -81,11 +83,17 @@ def prefix_size(n: int, num: int, den: int) -> int:
 
 
 def bitmap(x: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(x & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    width = min(BITS[1], max(BITS[0], 1 << int(2 * len(x)).bit_length()))
+    bits = np.zeros(width, np.uint8)
+    bits[(x & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits)
 
 
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap (or rows of them) in `size` bytes: what falls on one place is combined by OR."""
+    return np.bitwise_or.reduce(bits.reshape(*bits.shape[:-1], -1, size), axis=-2)
+
+
 SIG = "doc long, n long, node long, prefix array<long>, bits binary"
 SIG_ARROW = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
 
@@ -268,7 +276,7 @@ def tree_pairs(least, most, some, every, num: int, den: int, fan: int = 8, step:
         cx, cy = cx[ok], cy[ok]
         for k in range(0, len(cx), step):
             stack.append((depth - 1, cx[k : k + step], cy[k : k + step]))
-    return tuple(np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+    return tuple(np.concatenate(v) for v in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
 
 
 def _trees(num: int, den: int):
@@ -277,15 +285,24 @@ def _trees(num: int, den: int):
     def run(batches):
         for t in _by_group(batches, None):
             token, comp, least, most = (t.column(k).to_numpy() for k in range(4))
-            some, every = (np.frombuffer(b"".join(t.column(k).to_pylist()), np.uint64).reshape(len(token), -1) for k in (4, 5))
+            some, every = ([np.frombuffer(x, np.uint8) for x in t.column(k).to_pylist()] for k in (4, 5))
+            width = np.array([len(x) for x in some])
             head = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             found = []
             for a, z in zip(head, np.append(head[1:], len(token))):
                 c, at = np.unique(comp[a:z], return_index=True)
                 if len(c) > 1:
                     at = at + a
-                    x, y = tree_pairs(least[at], most[at], some[at], every[at], num, den)
-                    found.append((np.minimum(c[x], c[y]), np.maximum(c[x], c[y])))
+                    for w in np.unique(width[at]).tolist():  # a tree for each width; pairs are seen in that of the narrower
+                        use = np.flatnonzero(width[at] >= w)
+                        if len(use) < 2:
+                            continue
+                        o, e = (np.stack([folded(x[i], w) for i in at[use]]).view(np.uint64) for x in (some, every))
+                        x, y = tree_pairs(least[at[use]], most[at[use]], o, e, num, den)
+                        x, y = use[x], use[y]
+                        own = (width[at[x]] == w) | (width[at[y]] == w)
+                        x, y = x[own], y[own]
+                        found.append((np.minimum(c[x], c[y]), np.maximum(c[x], c[y])))
             if found:
                 x, y = (np.concatenate(w) for w in zip(*found))
                 u = np.unique(np.stack([x, y]), axis=1)
@@ -306,17 +323,16 @@ def _combine(batches):
         comp, n = np.asarray(b.column(0)), np.asarray(b.column(1))
         if not len(comp):
             continue
-        bits = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(comp), -1)
-        head = np.flatnonzero(np.r_[True, comp[1:] != comp[:-1]])
-        lo, hi = np.minimum.reduceat(n, head), np.maximum.reduceat(n, head)
-        some, every = np.bitwise_or.reduceat(bits, head, axis=0), np.bitwise_and.reduceat(bits, head, axis=0)
-        for i, at in enumerate(head):
-            if comp[at] == key:
-                state = (key, min(state[1], lo[i]), max(state[2], hi[i]), state[3] | some[i], state[4] & every[i])
+        bits = [np.frombuffer(x, np.uint8) for x in b.column(2).to_pylist()]
+        for c, size, x in zip(comp.tolist(), n.tolist(), bits):
+            if c == key:
+                w = min(len(x), len(state[3]))
+                x = folded(x, w)
+                state = (key, min(state[1], size), max(state[2], size), folded(state[3], w) | x, folded(state[4], w) & x)
             else:
                 if key is not None:
                     out.append(state)
-                key, state = comp[at], (int(comp[at]), lo[i], hi[i], some[i], every[i])
+                key, state = c, (c, size, size, x, x)
         if len(out) > 4096:
             yield flush()
             out = []
@@ -331,9 +347,13 @@ def _plausible(num: int, den: int):
     def run(batches):
         for b in batches:
             a, z, na, nz = (np.asarray(b.column(k)) for k in ("a", "b", "na", "nb"))
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(len(a), BITS // 64) for k in ("ba", "bb"))
-            lack = lambda p, q: np.bitwise_count(p & ~q).sum(axis=1).astype(np.int64)
-            overlap = np.minimum(na - lack(x, y), nz - lack(y, x))
+            x, y = ([np.frombuffer(v, np.uint8) for v in b.column(k).to_pylist()] for k in ("ba", "bb"))
+            lack = np.zeros((2, len(a)), np.int64)
+            for i, (p, q) in enumerate(zip(x, y)):
+                w = min(len(p), len(q))
+                p, q = folded(p, w).view(np.uint64), folded(q, w).view(np.uint64)
+                lack[0, i], lack[1, i] = np.bitwise_count(p & ~q).sum(), np.bitwise_count(q & ~p).sum()
+            overlap = np.minimum(na - lack[0], nz - lack[1])
             ok = (num + den) * overlap >= num * (na + nz)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(z[ok])], ["a", "b"])
 
@@ -360,18 +380,17 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     keys = nodes.select(F.explode(F.slice("prefix", 1, 3)).alias("key"), "n", "node")
     near = keys.repartitionByRange(n, "key", "n", "node").sortWithinPartitions("key", "n", "node").mapInArrow(_neighbours(num, den), LINK).distinct()
     links = cut(_verify(cut(near), source, k, num, den))
-    first = components(links)
+    first = cut(components(links))
 
-    grouped = nodes.join(first, "node", "left").select("node", F.coalesce("root", "node").alias("comp"), "n", "prefix", "bits")
-    grouped = cut(grouped)
-    leaves = grouped.select("comp", "n", "prefix").mapInArrow(_leaves, LEAF)
+    grouped = lambda *c: nodes.select("node", *c).join(first, "node", "left").select("node", F.coalesce("root", "node").alias("comp"), *c)
+    leaves = grouped("n", "prefix").select("comp", "n", "prefix").mapInArrow(_leaves, LEAF)
     active = leaves.select("token", "comp").repartition(n, "token").sortWithinPartitions("token").mapInArrow(_shared(num, den), "token long, comp long").distinct()
-    ranges = grouped.select("comp", "n", "bits").repartition(n, "comp").sortWithinPartitions("comp").mapInArrow(_combine, "comp long, least long, most long, some binary, every binary")
+    ranges = grouped("n", "bits").select("comp", "n", "bits").repartition(n, "comp").sortWithinPartitions("comp").mapInArrow(_combine, "comp long, least long, most long, some binary, every binary")
     held = active.join(ranges, "comp").select("token", "comp", "least", "most", "some", "every")
     pairs = held.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_trees(num, den), LINK).distinct()
 
-    x = grouped.select(F.col("comp").alias("ca"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
-    y = grouped.select(F.col("comp").alias("cb"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"))
+    x = grouped("n", "bits").select(F.col("comp").alias("ca"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
+    y = grouped("n", "bits").select(F.col("comp").alias("cb"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"))
     opened = pairs.join(x, F.col("a") == F.col("ca")).join(y, (F.col("b") == F.col("cb")) & (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num))
     opened = opened.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"), F.col("bx").alias("ba"), F.col("by").alias("bb"))
     more = cut(opened.mapInArrow(_plausible(num, den), LINK))
