@@ -32,3 +32,18 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 def text_column(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet in the shared checkpoint folder and read again."""
+    import uuid
+
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not sc._jsc.sc().getCheckpointDir().isDefined():
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        root = sc._jsc.sc().getCheckpointDir().get()
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

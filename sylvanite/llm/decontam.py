@@ -17,8 +17,6 @@ their windows. A null item_id is ignored, a null doc_id stays null. Repeated doc
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -136,37 +134,53 @@ def _extend(ids, first, test: TestSet, pos, q) -> np.ndarray:
     return size
 
 
-def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block: int = BLOCK) -> DataFrame:
-    """One row per document: words, words hit, and by item the longest match and the word it starts at."""
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block: int) -> list:
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null and text is not null")
     cells = max(1, -(-int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block))
-    blocks = []
+    out = []
     for k in range(cells):
         rows = (items if cells == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(cells)) == k)).collect()
-        blocks.append(spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows])))
+        out.append(benchmark.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows])))
+    return out
+
+
+class Shards:
+    """Searches shards of a task for all blocks, one after another."""
+
+    def __init__(self, blocks: list, window: int):
+        self.blocks, self.window, self.kept = blocks, window, {}
+
+    def test(self, k: int) -> TestSet:
+        if k not in self.kept:
+            if len(self.kept) > 3:
+                self.kept.clear()
+            self.kept[k] = TestSet(*self.blocks[k].value, self.window)
+        return self.kept[k]
+
+    def hits(self, column):
+        """(first row, end row, words, hit words of each text, first word of each text, matches) by shard. matches: text, item, words, position of each occurrence."""
+        for i, j, data, off in chunks(column):
+            h, first = _words(data, off)
+            hit, found = np.zeros(len(h) + 1, np.int32), []
+            for k in range(len(self.blocks)):
+                test = self.test(k)
+                pos, q, ids = test.matches(h, first)
+                if len(pos):
+                    np.add.at(hit, pos, 1)
+                    np.add.at(hit, pos + test.size[q], -1)
+                    found.append((np.searchsorted(first, pos, "right") - 1, test.owner[q], _extend(ids, first, test, pos, q), pos))
+            covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
+            yield i, j, np.diff(first), covered[first[1:]] - covered[first[:-1]], first, found
+
+
+def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block: int = BLOCK) -> DataFrame:
+    """One row per document: words, words hit, and by item the longest match and the word it starts at."""
+    blocks = _blocks(benchmark, item_col, item_text, block)
 
     def run(batches):
-        kept: dict[int, TestSet] = {}
+        shards = Shards(blocks, window)
         for b in batches:
-            ids_in = b.column(0)
-            for i, j, data, off in chunks(b.column(1)):
-                h, first = _words(data, off)
-                hit = np.zeros(len(h) + 1, np.int32)
-                found = []
-                for k, block_of in enumerate(blocks):
-                    if k not in kept:
-                        if len(kept) > 3:
-                            kept.clear()
-                        kept[k] = TestSet(*block_of.value, window)
-                    test = kept[k]
-                    pos, q, ids = test.matches(h, first)
-                    if len(pos):
-                        np.add.at(hit, pos, 1)
-                        np.add.at(hit, pos + test.size[q], -1)
-                        found.append((np.searchsorted(first, pos, "right") - 1, test.owner[q], _extend(ids, first, test, pos, q), pos))
-                covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
-                n_hit, n = covered[first[1:]] - covered[first[:-1]], np.diff(first)
+            for i, j, n, n_hit, first, found in shards.hits(b.column(1)):
                 lists = [[[] for _ in range(j - i)] for _ in range(3)]
                 if found:
                     d, item, size, pos = (np.concatenate(x) for x in zip(*found))
@@ -176,20 +190,22 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
                     new[1:] = (d[1:] != d[:-1]) | (item[1:] != item[:-1])
                     for x, y, s, p in zip(d[new], item[new], size[new], pos[new]):
                         lists[0][x].append(y), lists[1][x].append(s), lists[2][x].append(p - first[x])
-                yield pa.RecordBatch.from_arrays([ids_in.slice(i, j - i), pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in lists[0]], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], schema=ARROW)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in lists[0]], pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], schema=ARROW)
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def digest_items(items: list[int] | None) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items or []))).encode()).hexdigest()
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block: int = BLOCK) -> DataFrame:
+    """The rows of docs without a hit word, as they are, judged where they stand."""
+    blocks, at = _blocks(benchmark, item_col, item_text, block), docs.columns.index(text_col)
 
+    def run(batches):
+        shards = Shards(blocks, window)
+        for b in batches:
+            for i, j, _, n_hit, _, _ in shards.hits(b.column(at).cast(pa.string())):
+                yield b.slice(i, j - i).filter(pa.array(n_hit == 0))
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without a hit word, with their columns as they were. The search runs beside the rows, keyed by doc_id; null ids are matched to themselves."""
-    found = search(docs, benchmark, **options).where("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(found, docs[options.get("id_col", "doc_id")].eqNullSafe(found["__hit"]), "left_anti")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,15 +94,15 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(*bits.shape[:-1], -1, size), axis=-2)
 
 
-SIG = "doc long, n long, node long, prefix array<long>, bits binary"
-SIG_ARROW = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
+SIG = "doc long, tag long, n long, node long, prefix array<long>, bits binary"
+SIG_ARROW = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
 
 
 def _signatures(ranks, k: int, num: int, den: int):
     def run(batches):
         rank = ranks.value
         for b in batches:
-            ids, rows, at = b.column(0), [], 0
+            ids, tags, rows, at = b.column(0), b.column(2), [], 0
             for x in _sets(b.column(1), k):
                 p = x
                 if len(x):
@@ -110,10 +110,10 @@ def _signatures(ranks, k: int, num: int, den: int):
                     p = x[order[: prefix_size(len(x), num, den)]]
                 rows.append((len(x), _digest(x), p.view(np.int64), bitmap(x).tobytes()))
                 if len(rows) == 2000:
-                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(rows)), *(pa.array(list(c), t) for c, t in zip(zip(*rows), SIG_ARROW.types[1:]))], schema=SIG_ARROW)
+                    yield pa.RecordBatch.from_arrays([ids.slice(at, len(rows)), tags.slice(at, len(rows)), *(pa.array(list(c), t) for c, t in zip(zip(*rows), SIG_ARROW.types[2:]))], schema=SIG_ARROW)
                     at, rows = at + len(rows), []
             if rows:
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(rows)), *(pa.array(list(c), t) for c, t in zip(zip(*rows), SIG_ARROW.types[1:]))], schema=SIG_ARROW)
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(rows)), tags.slice(at, len(rows)), *(pa.array(list(c), t) for c, t in zip(zip(*rows), SIG_ARROW.types[2:]))], schema=SIG_ARROW)
 
     return run
 
@@ -361,9 +361,9 @@ def _plausible(num: int, den: int):
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """(doc, n, component) for every row; doc: the doc_id, or the least long for null. Sets are linked from a Jaccard similarity of num / den on."""
+    """(doc, tag, n, component, stays) for every row; tag: a hash of the text; stays: the one (doc, tag) of its component that is least; doc: the doc_id, or the least long for null. Sets are linked from a Jaccard similarity of num / den on."""
     sc, n = docs.sparkSession.sparkContext, parallelism(docs)
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tag"))
     counts = source.select("text", F.spark_partition_id().cast("long").alias("part")).mapInArrow(_bucket_counts(k), "block long, lane long, counts binary")
     counts = counts.groupBy("block", "lane").applyInArrow(_add_up, "block long, lane long, counts binary").groupBy("block").applyInArrow(_add_up, "block long, lane long, counts binary")
     total = np.zeros(BUCKETS, np.int64)
@@ -373,7 +373,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     rank = np.maximum(0, np.log2(np.maximum(total, 1) / max(1.0, np.median(total)))).astype(np.int8)
     ranks = sc.broadcast(rank)
 
-    sig = cut(source.mapInArrow(_signatures(ranks, k, num, den), SIG))
+    sig = cut(source.select("doc", "text", "tag").mapInArrow(_signatures(ranks, k, num, den), SIG))
     nodes = cut(sig.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
 
     # near copies, by neighbours
@@ -397,17 +397,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     second = _verify(more, source, k, num, den)
     last = components(links.union(second))
 
-    least = nodes.select("node", "doc").join(last, "node", "left").select("node", F.coalesce("root", "node").alias("comp"), "doc")
-    best = least.groupBy("comp").agg(F.min("doc").alias("component"))
-    named = least.join(best, "comp").select("node", "component")
-    return sig.select("doc", "n", "node").join(named, "node", "left").select("doc", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component"))
+    own = F.when(F.col("n") > 0, F.coalesce("root", "node")).otherwise(None).alias("comp")
+    rows = sig.select("doc", "tag", "n", "node").join(last, "node", "left").select("doc", "tag", "n", own)
+    best = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc", "tag")).alias("best"))
+    named = rows.join(best, "comp", "left")
+    return named.select("doc", "tag", "n", F.coalesce("best.doc", "doc").alias("component"), F.coalesce(F.col("best") == F.struct("doc", "tag"), F.lit(True)).alias("stays"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of docs for each component: that of its least doc_id; of repeated rows one. Null ids are one id."""
-    found = join(docs, id_col, text_col, **options).where("doc = component").select(F.col("doc").alias("__kept")).distinct()
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
-    return docs.dropDuplicates([id_col]).join(found, key == F.col("__kept"), "left_semi")
+    """One row of docs for each component, that of its least doc_id; of rows equal in doc_id and text one. Null ids are one id."""
+    found = join(docs, id_col, text_col, **options).where("stays").select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"))
+    keyed = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)), "__tag": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    return keyed.join(found, ["__doc", "__tag"], "left_semi").dropDuplicates(["__doc", "__tag"]).select(*docs.columns)
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
