@@ -21,6 +21,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Texts are long: bound what a Python worker holds at once."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def parallelism(df: DataFrame) -> int:
     """Partitions for a shuffle of data that grows with the input."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -31,6 +38,7 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 
 def text_column(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(df)
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 

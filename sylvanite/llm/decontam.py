@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._run import table
+from ._run import small_batches, table
 from ._text import ALNUM, buffer, chunks, hashed, lowered, spans
 
 BLOCK = 8 << 20
@@ -175,6 +175,7 @@ class Shards:
 
 def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = 10, block: int = BLOCK) -> DataFrame:
     """One row per document: words, words hit, and by item the longest match and the word it starts at."""
+    small_batches(docs)
     blocks = _blocks(benchmark, item_col, item_text, block)
 
     def run(batches):

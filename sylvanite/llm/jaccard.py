@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._run import cut, parallelism, table
+from ._run import cut, parallelism, small_batches, table
 from ._text import BLANK, chunks, hashed, lowered, mix, ngrams, spans
 from .components import LINK, components
 from .line_dedup import LOWEST
@@ -209,7 +209,7 @@ def _leaves(batches):
             yield pa.RecordBatch.from_arrays([pa.array(token[at][s]), pa.array(comp[own][at][s]), pa.array(np.minimum.reduceat(size, at)[s]), pa.array(np.maximum.reduceat(size, at)[s])], ["token", "comp", "least", "most"])
 
 
-def _by_group(batches, names):
+def _by_group(batches, least: int = 50_000):
     """Tables of whole groups, from rows sorted by the first column."""
     wait, rows = [], 0
     for b in batches:
@@ -217,7 +217,7 @@ def _by_group(batches, names):
             continue
         wait.append(b)
         rows += b.num_rows
-        if rows >= 50_000:
+        if rows >= least:
             t = pa.Table.from_batches(wait)
             key = t.column(0).to_numpy()
             k = int(np.searchsorted(key, key[-1]))
@@ -228,20 +228,24 @@ def _by_group(batches, names):
         yield pa.Table.from_batches(wait)
 
 
-def _shared(num: int, den: int):
-    """Leaves sorted by token in; those of tokens that several components hold out."""
-
-    def run(batches):
-        for t in _by_group(batches, None):
-            token, comp = t.column(0).to_numpy(), t.column(1).to_numpy()
-            head = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-            size = np.diff(np.append(head, len(token)))
-            mixed = np.minimum.reduceat(comp, head) != np.maximum.reduceat(comp, head)
-            keep = np.repeat(mixed, size)
-            for b in t.select(["token", "comp"]).filter(pa.array(keep)).combine_chunks().to_batches():
-                yield b
-
-    return run
+def _shared(batches):
+    """Leaves sorted by token in; those of tokens that several components hold out. Tokens held by the same components are one group, named by a hash of them."""
+    for t in _by_group(batches):
+        token, comp = t.column(0).to_numpy(), t.column(1).to_numpy()
+        order = np.lexsort((comp, token))
+        token, comp = token[order], comp[order]
+        new = np.r_[True, (token[1:] != token[:-1]) | (comp[1:] != comp[:-1])]
+        token, comp = token[new], comp[new]
+        head = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        size = np.diff(np.append(head, len(token)))
+        with np.errstate(over="ignore"):
+            name = mix(np.add.reduceat(mix(comp.view(np.uint64)), head))
+        _, one = np.unique(name, return_index=True)
+        one = one[size[one] > 1]
+        at = np.repeat(head[one] - np.cumsum(size[one]) + size[one], size[one]) + np.arange(size[one].sum())
+        group = np.repeat(name[one], size[one]).view(np.int64)
+        for k in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(group[k : k + (1 << 16)]), pa.array(comp[at[k : k + (1 << 16)]])], ["token", "comp"])
 
 
 def tree_pairs(least, most, some, every, num: int, den: int, fan: int = 8, step: int = 1 << 16):
@@ -283,7 +287,7 @@ def _trees(num: int, den: int):
     """(token, comp, least, most, some, every) sorted by token in; pairs of components out."""
 
     def run(batches):
-        for t in _by_group(batches, None):
+        for t in _by_group(batches, 8000):
             token, comp, least, most = (t.column(k).to_numpy() for k in range(4))
             some, every = ([np.frombuffer(x, np.uint8) for x in t.column(k).to_pylist()] for k in (4, 5))
             width = np.array([len(x) for x in some])
@@ -362,6 +366,7 @@ def _plausible(num: int, den: int):
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc, tag, n, component, stays) for every row; tag: a hash of the text; stays: the one (doc, tag) of its component that is least; doc: the doc_id, or the least long for null. Sets are linked from a Jaccard similarity of num / den on."""
+    small_batches(docs)
     sc, n = docs.sparkSession.sparkContext, parallelism(docs)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tag"))
     counts = source.select("text", F.spark_partition_id().cast("long").alias("part")).mapInArrow(_bucket_counts(k), "block long, lane long, counts binary")
@@ -384,7 +389,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
 
     grouped = lambda *c: nodes.select("node", *c).join(first, "node", "left").select("node", F.coalesce("root", "node").alias("comp"), *c)
     leaves = grouped("n", "prefix").select("comp", "n", "prefix").mapInArrow(_leaves, LEAF)
-    active = leaves.select("token", "comp").repartition(n, "token").sortWithinPartitions("token").mapInArrow(_shared(num, den), "token long, comp long").distinct()
+    active = leaves.select("token", "comp").repartition(n, "token").sortWithinPartitions("token").mapInArrow(_shared, "token long, comp long").distinct()
     ranges = grouped("n", "bits").select("comp", "n", "bits").repartition(n, "comp").sortWithinPartitions("comp").mapInArrow(_combine, "comp long, least long, most long, some binary, every binary")
     held = active.join(ranges, "comp").select("token", "comp", "least", "most", "some", "every")
     pairs = held.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_trees(num, den), LINK).distinct()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._run import table
+from ._run import small_batches, table
 from ._text import ALNUM, buffer, chunks, hashed, lowered, ngrams, spans
 from .line_dedup import line_spans
 
@@ -66,6 +66,7 @@ class Scanner:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
+    small_batches(docs)
     templates = TEMPLATES if templates is None else templates
 
     def run(batches):

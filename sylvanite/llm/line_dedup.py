@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._run import cut, parallelism, table
+from ._run import cut, parallelism, small_batches, table
 from ._text import chunks, hashed, lowered
 
 LOWEST = -(2**63)
@@ -180,6 +180,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._run import cut, parallelism, table
+from ._run import cut, parallelism, small_batches, table
 from ._text import BLANK, chunks, hashed, lowered, mix, spans
 
 MU, BASE = 1000.0, 1.5
@@ -228,6 +228,7 @@ def held_out(column, folds: int = 7, fold: int = 2):
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, max_bits: int = MAX_BITS) -> DataFrame:
     """Scores of all rows by a model of those that are not held out. Order 2."""
+    small_batches(docs)
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     # a shard: an input split, or without files a share of the rows
     split = F.xxhash64(F.input_file_name(), F.input_file_block_start())

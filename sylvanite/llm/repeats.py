@@ -142,6 +142,19 @@ def membership(hashes: DataFrame, max_bits: int = MAX_BITS):
     return hashes.sparkSession.sparkContext.broadcast((bits, places))
 
 
+def _shards(batches, rows: int = 8192, limit: int = 24 << 20):
+    """Batches put together to shards of bounded size."""
+    wait, n, size = [], 0, 0
+    for b in batches:
+        wait.append(b)
+        n, size = n + b.num_rows, size + b.nbytes
+        if n >= rows or size >= limit:
+            yield pa.Table.from_batches(wait).combine_chunks().to_batches()[0]
+            wait, n, size = [], 0, 0
+    if n:
+        yield pa.Table.from_batches(wait).combine_chunks().to_batches()[0]
+
+
 ROWS = "h long, doc long, tag long, first long, lead int, spare int, context binary"
 ROWS_ARROW = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("first", pa.int64()), ("lead", pa.int32()), ("spare", pa.int32()), ("context", pa.binary())])
 
@@ -151,7 +164,7 @@ def _contexts(shared, size: int):
 
     def run(batches):
         bits, places = shared.value
-        for b in batches:
+        for b in _shards(batches):
             doc, tag = np.asarray(b.column(0)), np.asarray(b.column(1))
             found = []
             for data, off, rows, base in _pieces(b.column(2), size):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._run import table
+from ._run import small_batches, table
 from ._text import BLANK, buffer, chunks, hashed, lowered, spans
 
 WINDOW, STEP = 32, 16
@@ -259,6 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score and predicted for every row."""
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
@@ -273,6 +274,7 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that are scored under 0.5, as they are. Rows are judged where they stand, without a join."""
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, text_col=text_col))
     at = docs.columns.index(text_col)
 
