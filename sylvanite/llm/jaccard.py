@@ -1,16 +1,17 @@
 """op3: n-gram Jaccard self-join by signature trees, and its components.
 
 1. Each document becomes the set of its distinct k-word shingles (64-bit hashes). Equal sets are one node.
-2. Links inside groups of near copies are found first: nodes that share one of their rarest shingles are
-   sorted by size, neighbours are compared exactly, and the links' components are taken.
+2. Links inside groups of near copies are found first: nodes that share one of their least hashes are
+   sorted, the likeliest of their next neighbours are compared exactly, and the links' components are taken.
 3. Two linked sets share a shingle of their prefixes (the n - ceil(t n) + 1 rarest shingles; rarity by the
    counts of 2**18 hash buckets over all documents, then by hash). Every prefix shingle that several
    components hold gives a signature tree over their nodes: leaves are the components, with the OR of their
    members' token bitmaps, the AND of them and the range of their sizes; inner nodes combine eight each. A dual
    traversal from the root drops pairs of nodes whose sizes cannot fit or whose greatest possible overlap,
    n - |bits of one that the other lacks|, is below what the least union asks.
-4. Pairs of components that remain are opened into pairs of sets, held against their own bitmaps, and
-   compared exactly. All links' components are the result.
+4. Pairs of components that remain are opened into pairs of sets and held against their own bitmaps. The likeliest
+   pair of each two components is compared exactly; then all pairs of those that are still apart. All links'
+   components are the result.
 
 Components never compare their own members again, so a group of many near copies costs a few comparisons
 a member; equal sets cost none. No link between different sets is lost.
@@ -25,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._run import cut, parallelism, small_batches, table
@@ -33,7 +34,7 @@ from ._text import BLANK, chunks, hashed, lowered, mix, ngrams, spans
 from .components import LINK, components
 from .line_dedup import LOWEST
 
-BUCKETS = 1 << 18
+BUCKETS, MINS = 1 << 18, 4
 #: least and most bits of a token bitmap; between them it has two to four bits for each shingle
 BITS = 512, 1 << 16
 
@@ -94,8 +95,8 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(*bits.shape[:-1], -1, size), axis=-2)
 
 
-SIG = "doc long, tag long, n long, node long, prefix array<long>, bits binary"
-SIG_ARROW = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.list_(pa.int64())), ("bits", pa.binary())])
+SIG = "doc long, tag long, n long, node long, prefix array<long>, mins array<long>, bits binary"
+SIG_ARROW = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("prefix", pa.list_(pa.int64())), ("mins", pa.list_(pa.int64())), ("bits", pa.binary())])
 
 
 def _signatures(ranks, k: int, num: int, den: int):
@@ -108,7 +109,7 @@ def _signatures(ranks, k: int, num: int, den: int):
                 if len(x):
                     order = np.argsort(rank[(x >> np.uint64(46)).astype(np.int64)], kind="stable")  # x is sorted by hash
                     p = x[order[: prefix_size(len(x), num, den)]]
-                rows.append((len(x), _digest(x), p.view(np.int64), bitmap(x).tobytes()))
+                rows.append((len(x), _digest(x), p.view(np.int64), x[:MINS].view(np.int64), bitmap(x).tobytes()))
                 if len(rows) == 2000:
                     yield pa.RecordBatch.from_arrays([ids.slice(at, len(rows)), tags.slice(at, len(rows)), *(pa.array(list(c), t) for c, t in zip(zip(*rows), SIG_ARROW.types[2:]))], schema=SIG_ARROW)
                     at, rows = at + len(rows), []
@@ -118,24 +119,59 @@ def _signatures(ranks, k: int, num: int, den: int):
     return run
 
 
-def _neighbours(num: int, den: int):
-    """Rows (key, n, node) in order; neighbours of one key whose sizes fit out."""
+def lacking(x: list, y: list) -> np.ndarray:
+    """Of pairs of bitmaps: how many bits of one the other lacks, both ways, each in the width of the narrower."""
+    out = np.zeros((2, len(x)), np.int64)
+    wide = np.array([[len(p), len(q)] for p, q in zip(x, y)]).reshape(-1, 2)
+    for w, v in np.unique(wide, axis=0).tolist():
+        at, least = np.flatnonzero((wide == (w, v)).all(axis=1)), min(w, v)
+        for k in range(0, len(at), 4096):
+            some = at[k : k + 4096]
+            p, q = (folded(np.frombuffer(b"".join([z[i] for i in some]), np.uint8).reshape(len(some), -1), least).view(np.uint64) for z in (x, y))
+            out[0, some], out[1, some] = np.bitwise_count(p & ~q).sum(axis=1), np.bitwise_count(q & ~p).sum(axis=1)
+    return out
+
+
+def _neighbours(num: int, den: int, reach: int = 16, best: int = 2):
+    """Rows (key, n, node, comp, bits) in order; of each row the `best` of the next `reach` of its key, and of another component, by the overlap their bitmaps allow."""
 
     def run(batches):
-        last = None
-        for b in batches:
-            key, n, node = (np.asarray(b.column(i)) for i in range(3))
-            if last is not None:
-                key, n, node = (np.concatenate([[x], y]) for x, y in zip(last, (key, n, node)))
-            if len(key):
-                last = key[-1], n[-1], node[-1]
-            ok = (key[1:] == key[:-1]) & (node[1:] != node[:-1]) & (den * n[:-1] >= num * n[1:])
-            a, z = node[:-1][ok], node[1:][ok]
+        for t in _by_group(batches, 4000, reach):
+            key, n, node, comp = (t.column(k).to_numpy() for k in range(4))
+            bits = t.column(4).to_pylist()
+            at, to = [], []
+            for d in range(1, min(reach, len(key) - 1) + 1):
+                ok = np.flatnonzero((key[d:] == key[:-d]) & (comp[d:] != comp[:-d]) & (den * n[:-d] >= num * n[d:]))
+                at.append(ok), to.append(ok + d)
+            if not at or not sum(map(len, at)):
+                continue
+            at, to = np.concatenate(at), np.concatenate(to)
+            lack = lacking([bits[i] for i in at], [bits[i] for i in to])
+            overlap = np.minimum(n[at] - lack[0], n[to] - lack[1])
+            ok = (num + den) * overlap >= num * (n[at] + n[to])
+            at, to, overlap = at[ok], to[ok], overlap[ok]
+            order = np.lexsort((-overlap, at))
+            at, to = at[order], to[order]
+            head = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
+            rank = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
+            a, z = node[at[rank < best]], node[to[rank < best]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, z)), pa.array(np.maximum(a, z))], ["a", "b"])
 
     return run
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """The first 48 bits of each hash of a set."""
+    return x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(raw) -> np.ndarray:
+    x = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(x), 8), np.uint8)
+    out[:, :6] = x
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def _members(bits_of, k: int):
     """The sets of the texts whose node the bitmap lets through."""
 
@@ -147,7 +183,7 @@ def _members(bits_of, k: int):
                     d = _digest(x)
                     at = (d & (2**64 - 1)) >> (64 - bits_of.value[1])
                     if bits_of.value[0][at >> 3] >> (at & 7) & 1:
-                        rows.append((d, x.tobytes()))
+                        rows.append((d, _packed(x)))
                 if len(rows) == 1000:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "shingles"])
                     rows = []
@@ -163,7 +199,7 @@ def _exact(num: int, den: int):
             a, z = b.column("a"), b.column("b")
             keep = []
             for x, y in zip(b.column("sa"), b.column("sb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
                 if len(x) > len(y):
                     x, y = y, x
                 i = np.searchsorted(y, x)
@@ -209,8 +245,8 @@ def _leaves(batches):
             yield pa.RecordBatch.from_arrays([pa.array(token[at][s]), pa.array(comp[own][at][s]), pa.array(np.minimum.reduceat(size, at)[s]), pa.array(np.maximum.reduceat(size, at)[s])], ["token", "comp", "least", "most"])
 
 
-def _by_group(batches, least: int = 50_000):
-    """Tables of whole groups, from rows sorted by the first column."""
+def _by_group(batches, least: int = 50_000, keep: int = 0):
+    """Tables of whole groups, from rows sorted by the first column; with `keep`, of parts of groups that overlap by so many rows."""
     wait, rows = [], 0
     for b in batches:
         if not b.num_rows:
@@ -220,10 +256,10 @@ def _by_group(batches, least: int = 50_000):
         if rows >= least:
             t = pa.Table.from_batches(wait)
             key = t.column(0).to_numpy()
-            k = int(np.searchsorted(key, key[-1]))
-            if k:
-                yield t.slice(0, k)
-            wait, rows = t.slice(k).to_batches(), t.num_rows - k
+            k = int(np.searchsorted(key, key[-1])) if not keep else t.num_rows - keep
+            if k > 0:
+                yield t.slice(0, k + keep)
+            wait, rows = t.slice(max(k, 0)).to_batches(), t.num_rows - max(k, 0)
     if rows:
         yield pa.Table.from_batches(wait)
 
@@ -351,15 +387,10 @@ def _plausible(num: int, den: int):
     def run(batches):
         for b in batches:
             a, z, na, nz = (np.asarray(b.column(k)) for k in ("a", "b", "na", "nb"))
-            x, y = ([np.frombuffer(v, np.uint8) for v in b.column(k).to_pylist()] for k in ("ba", "bb"))
-            lack = np.zeros((2, len(a)), np.int64)
-            for i, (p, q) in enumerate(zip(x, y)):
-                w = min(len(p), len(q))
-                p, q = folded(p, w).view(np.uint64), folded(q, w).view(np.uint64)
-                lack[0, i], lack[1, i] = np.bitwise_count(p & ~q).sum(), np.bitwise_count(q & ~p).sum()
+            lack = lacking(b.column("ba").to_pylist(), b.column("bb").to_pylist())
             overlap = np.minimum(na - lack[0], nz - lack[1])
             ok = (num + den) * overlap >= num * (na + nz)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(z[ok])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (a, z, overlap, np.asarray(b.column("ca")), np.asarray(b.column("cb")))], ["a", "b", "overlap", "ca", "cb"])
 
     return run
 
@@ -379,15 +410,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     ranks = sc.broadcast(rank)
 
     sig = cut(source.select("doc", "text", "tag").mapInArrow(_signatures(ranks, k, num, den), SIG))
-    nodes = cut(sig.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
-
-    # near copies, by neighbours
-    keys = nodes.select(F.explode(F.slice("prefix", 1, 3)).alias("key"), "n", "node")
-    near = keys.repartitionByRange(n, "key", "n", "node").sortWithinPartitions("key", "n", "node").mapInArrow(_neighbours(num, den), LINK).distinct()
-    links = cut(_verify(cut(near), source, k, num, den))
-    first = cut(components(links))
+    nodes = cut(sig.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("mins").alias("mins"), F.first("bits").alias("bits")))
+
+    # near copies, by neighbours under their least hashes, then under the next ones what is still apart
+    links, roots = None, nodes.select("node", F.col("node").alias("root")).limit(0)
+    grouped = lambda *c: nodes.select("node", *c).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp"), *c)
+    for turn in range(2):
+        keys = grouped("n", "mins", "bits").select(F.explode(F.slice("mins", 1 + 2 * turn, 2)).alias("key"), "n", "node", "comp", "bits")
+        order = ["key", "n", "node"] if turn == 0 else ["key", "node"]
+        near = keys.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(num, den), LINK).distinct()
+        found = cut(_verify(cut(near), source, k, num, den))
+        links = found if links is None else links.union(found)
+        roots = cut(components(links))
 
-    grouped = lambda *c: nodes.select("node", *c).join(first, "node", "left").select("node", F.coalesce("root", "node").alias("comp"), *c)
     leaves = grouped("n", "prefix").select("comp", "n", "prefix").mapInArrow(_leaves, LEAF)
     active = leaves.select("token", "comp").repartition(n, "token").sortWithinPartitions("token").mapInArrow(_shared, "token long, comp long").distinct()
     ranges = grouped("n", "bits").select("comp", "n", "bits").repartition(n, "comp").sortWithinPartitions("comp").mapInArrow(_combine, "comp long, least long, most long, some binary, every binary")
@@ -397,10 +432,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     x = grouped("n", "bits").select(F.col("comp").alias("ca"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
     y = grouped("n", "bits").select(F.col("comp").alias("cb"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"))
     opened = pairs.join(x, F.col("a") == F.col("ca")).join(y, (F.col("b") == F.col("cb")) & (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num))
-    opened = opened.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"), F.col("bx").alias("ba"), F.col("by").alias("bb"))
-    more = cut(opened.mapInArrow(_plausible(num, den), LINK))
-    second = _verify(more, source, k, num, den)
-    last = components(links.union(second))
+    opened = opened.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"), F.col("bx").alias("ba"), F.col("by").alias("bb"), "ca", "cb")
+    more = cut(opened.mapInArrow(_plausible(num, den), "a long, b long, overlap long, ca long, cb long"))
+    # of two components the likeliest pair first; the rest only where they are still apart
+    top = more.withColumn("r", F.row_number().over(Window.partitionBy("ca", "cb").orderBy(F.desc("overlap"), "a", "b"))).where("r = 1")
+    second = cut(_verify(top.select("a", "b"), source, k, num, den))
+    links = links.union(second)
+    roots = cut(components(links))
+    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c))
+    apart = more.join(top.select("a", "b"), ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    apart = cut(apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+    if apart.take(1):
+        links = links.union(cut(_verify(apart, source, k, num, den)))
+        roots = cut(components(links))
+    last = roots
 
     own = F.when(F.col("n") > 0, F.coalesce("root", "node")).otherwise(None).alias("comp")
     rows = sig.select("doc", "tag", "n", "node").join(last, "node", "left").select("doc", "tag", "n", own)
