@@ -9,9 +9,9 @@
    members' token bitmaps, the AND of them and the range of their sizes; inner nodes combine eight each. A dual
    traversal from the root drops pairs of nodes whose sizes cannot fit or whose greatest possible overlap,
    n - |bits of one that the other lacks|, is below what the least union asks.
-4. Pairs of components that remain are opened into pairs of sets and held against their own bitmaps. The likeliest
-   pair of each two components is compared exactly; then all pairs of those that are still apart. All links'
-   components are the result.
+4. Pairs of components that remain are opened into pairs of sets and held against their own bitmaps. Those
+   that remain are compared exactly; if they are many, the likeliest pair of each two components first, then all
+   pairs of those that are still apart. All links' components are the result.
 
 Components never compare their own members again, so a group of many near copies costs a few comparisons
 a member; equal sets cost none. No link between different sets is lost.
@@ -34,7 +34,7 @@ from ._text import BLANK, chunks, hashed, lowered, mix, ngrams, spans
 from .components import LINK, components
 from .line_dedup import LOWEST
 
-BUCKETS, MINS = 1 << 18, 4
+BUCKETS, MINS, PARCEL = 1 << 18, 3, 128
 #: least and most bits of a token bitmap; between them it has two to four bits for each shingle
 BITS = 512, 1 << 16
 
@@ -132,7 +132,7 @@ def lacking(x: list, y: list) -> np.ndarray:
     return out
 
 
-def _neighbours(num: int, den: int, reach: int = 16, best: int = 2):
+def _neighbours(num: int, den: int, reach: int = 64, best: int = 2):
     """Rows (key, n, node, comp, bits) in order; of each row the `best` of the next `reach` of its key, and of another component, by the overlap their bitmaps allow."""
 
     def run(batches):
@@ -382,15 +382,24 @@ def _combine(batches):
 
 
 def _plausible(num: int, den: int):
-    """Pairs of sets with sizes and bitmaps in; those whose greatest possible overlap is enough out."""
+    """Pairs of parcels of sets with their sizes and bitmaps in; pairs of sets whose greatest possible overlap is enough out."""
 
     def run(batches):
         for b in batches:
-            a, z, na, nz = (np.asarray(b.column(k)) for k in ("a", "b", "na", "nb"))
-            lack = lacking(b.column("ba").to_pylist(), b.column("bb").to_pylist())
-            overlap = np.minimum(na - lack[0], nz - lack[1])
-            ok = (num + den) * overlap >= num * (na + nz)
-            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (a, z, overlap, np.asarray(b.column("ca")), np.asarray(b.column("cb")))], ["a", "b", "overlap", "ca", "cb"])
+            for row in range(b.num_rows):
+                one = b.slice(row, 1)
+                x, y = (one.column(c)[0].as_py() for c in ("xs", "ys"))
+                na, nz = (np.array([m["n"] for m in z], np.int64) for z in (x, y))
+                i, j = np.nonzero((den * na[:, None] >= num * nz[None]) & (den * nz[None] >= num * na[:, None]))
+                if not len(i):
+                    continue
+                lack = lacking([x[k]["bits"] for k in i], [y[k]["bits"] for k in j])
+                overlap = np.minimum(na[i] - lack[0], nz[j] - lack[1])
+                ok = np.flatnonzero((num + den) * overlap >= num * (na[i] + nz[j]))
+                if len(ok):
+                    a, z = ([m[k]["node"] for k in at[ok]] for m, at in ((x, i), (y, j)))
+                    ends = [pa.array(np.full(len(ok), one.column(c)[0].as_py(), np.int64)) for c in ("a", "b")]
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64()), pa.array(overlap[ok]), *ends], ["a", "b", "overlap", "ca", "cb"])
 
     return run
 
@@ -412,39 +421,39 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     sig = cut(source.select("doc", "text", "tag").mapInArrow(_signatures(ranks, k, num, den), SIG))
     nodes = cut(sig.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("mins").alias("mins"), F.first("bits").alias("bits")))
 
-    # near copies, by neighbours under their least hashes, then under the next ones what is still apart
-    links, roots = None, nodes.select("node", F.col("node").alias("root")).limit(0)
+    # near copies, by neighbours under their least hashes
+    keys = nodes.select(F.explode("mins").alias("key"), "n", "node", F.col("node").alias("comp"), "bits")
+    near = keys.repartitionByRange(n, "key", "n", "node").sortWithinPartitions("key", "n", "node").mapInArrow(_neighbours(num, den), LINK).distinct()
+    links = cut(_verify(cut(near), source, k, num, den))
+    roots = cut(components(links))
     grouped = lambda *c: nodes.select("node", *c).join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("comp"), *c)
-    for turn in range(2):
-        keys = grouped("n", "mins", "bits").select(F.explode(F.slice("mins", 1 + 2 * turn, 2)).alias("key"), "n", "node", "comp", "bits")
-        order = ["key", "n", "node"] if turn == 0 else ["key", "node"]
-        near = keys.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(num, den), LINK).distinct()
-        found = cut(_verify(cut(near), source, k, num, den))
-        links = found if links is None else links.union(found)
-        roots = cut(components(links))
 
     leaves = grouped("n", "prefix").select("comp", "n", "prefix").mapInArrow(_leaves, LEAF)
     active = leaves.select("token", "comp").repartition(n, "token").sortWithinPartitions("token").mapInArrow(_shared, "token long, comp long").distinct()
     ranges = grouped("n", "bits").select("comp", "n", "bits").repartition(n, "comp").sortWithinPartitions("comp").mapInArrow(_combine, "comp long, least long, most long, some binary, every binary")
     held = active.join(ranges, "comp").select("token", "comp", "least", "most", "some", "every")
-    pairs = held.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_trees(num, den), LINK).distinct()
-
-    x = grouped("n", "bits").select(F.col("comp").alias("ca"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("bits").alias("bx"))
-    y = grouped("n", "bits").select(F.col("comp").alias("cb"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("bits").alias("by"))
-    opened = pairs.join(x, F.col("a") == F.col("ca")).join(y, (F.col("b") == F.col("cb")) & (F.col("nx") * den >= F.col("ny") * num) & (F.col("ny") * den >= F.col("nx") * num))
-    opened = opened.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("nx").alias("na"), F.col("ny").alias("nb"), F.col("bx").alias("ba"), F.col("by").alias("bb"), "ca", "cb")
+    pairs = cut(held.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_trees(num, den), LINK).distinct())
+
+    # members travel in parcels of about PARCEL, however many a component has
+    each = grouped("n", "bits")
+    sizes = grouped("n").groupBy("comp").agg(F.count("*").alias("size"))
+    parcel = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / PARCEL))
+    members = each.join(pairs.select(F.col("a").alias("comp")).union(pairs.select("b")).distinct(), "comp", "left_semi").join(sizes, "comp")
+    members = cut(members.withColumn("parcel", parcel).groupBy("comp", "parcel").agg(F.collect_list(F.struct("node", "n", "bits")).alias("ms")))
+    x, y = members.select(F.col("comp").alias("a"), F.col("ms").alias("xs")), members.select(F.col("comp").alias("b"), F.col("ms").alias("ys"))
+    opened = pairs.join(x, "a").join(y, "b")
     more = cut(opened.mapInArrow(_plausible(num, den), "a long, b long, overlap long, ca long, cb long"))
-    # of two components the likeliest pair first; the rest only where they are still apart
-    top = more.withColumn("r", F.row_number().over(Window.partitionBy("ca", "cb").orderBy(F.desc("overlap"), "a", "b"))).where("r = 1")
-    second = cut(_verify(top.select("a", "b"), source, k, num, den))
-    links = links.union(second)
-    roots = cut(components(links))
-    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c))
-    apart = more.join(top.select("a", "b"), ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    apart = cut(apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
-    if apart.take(1):
-        links = links.union(cut(_verify(apart, source, k, num, den)))
+    # few pairs are compared at once; of many, the likeliest of two components first and the rest only where they are still apart
+    rest = more
+    if more.count() > nodes.count():
+        top = more.withColumn("r", F.row_number().over(Window.partitionBy("ca", "cb").orderBy(F.desc("overlap"), "a", "b"))).where("r = 1")
+        links = links.union(cut(_verify(top.select("a", "b"), source, k, num, den)))
         roots = cut(components(links))
+        side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c))
+        rest = more.join(top.select("a", "b"), ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+        rest = cut(rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")))
+    if rest.take(1):
+        roots = cut(components(links.union(_verify(rest.select("a", "b"), source, k, num, den))))
     last = roots
 
     own = F.when(F.col("n") > 0, F.coalesce("root", "node")).otherwise(None).alias("comp")
