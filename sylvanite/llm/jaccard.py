@@ -325,7 +325,8 @@ def _trees(num: int, den: int):
     def run(batches):
         for t in _by_group(batches, 8000):
             token, comp, least, most = (t.column(k).to_numpy() for k in range(4))
-            some, every = ([np.frombuffer(x, np.uint8) for x in t.column(k).to_pylist()] for k in (4, 5))
+            some = [np.frombuffer(x, np.uint8) for x in t.column(4).to_pylist()]
+            every = [x if y is None else np.frombuffer(y, np.uint8) for x, y in zip(some, t.column(5).to_pylist())]
             width = np.array([len(x) for x in some])
             head = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             found = []
@@ -353,11 +354,11 @@ def _trees(num: int, den: int):
 
 
 def _combine(batches):
-    """(comp, n, bits) sorted by comp in; (comp, least, most, some, every) out, one row for each component of the partition."""
+    """(comp, n, bits) sorted by comp in; (comp, least, most, some, every) out, one row for each component of the partition; every is null where it equals some."""
     key, state, out = None, None, []
 
     def flush():
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3].tobytes() for x in out], pa.binary()), pa.array([x[4].tobytes() for x in out], pa.binary())], ["comp", "least", "most", "some", "every"])
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3].tobytes() for x in out], pa.binary()), pa.array([None if np.array_equal(x[3], x[4]) else x[4].tobytes() for x in out], pa.binary())], ["comp", "least", "most", "some", "every"])
 
     for b in batches:
         comp, n = np.asarray(b.column(0)), np.asarray(b.column(1))
