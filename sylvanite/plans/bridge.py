@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ORDER_V = """
-  SELECT CAST(o_orderkey AS BIGINT) AS graph_id, CAST(0 AS BIGINT) AS vid, o_orderpriority AS label FROM orders
+  SELECT CAST(o_orderkey AS BIGINT) AS graph_id, CAST(0 AS BIGINT) AS vid, replace(o_orderpriority, ' ', '_') AS label FROM orders
   UNION ALL
   SELECT CAST(l_orderkey AS BIGINT), CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS BIGINT),
          concat(l_returnflag, l_linestatus)
