@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ._run import cut, parallelism, small_batches, table
 from ._text import BLANK, chunks, hashed, lowered, mix, ngrams, spans
 from .components import LINK, components
-from .line_dedup import LOWEST
+from .line_dedup import LOWEST, keyed
 
 BUCKETS, MINS, PARCEL = 1 << 18, 3, 128
 #: least and most bits of a token bitmap; between them it has two to four bits for each shingle
@@ -466,9 +466,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of docs for each component, that of its least doc_id; of rows equal in doc_id and text one. Null ids are one id."""
-    found = join(docs, id_col, text_col, **options).where("stays").select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"))
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)), "__tag": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    return keyed.join(found, ["__doc", "__tag"], "left_semi").dropDuplicates(["__doc", "__tag"]).select(*docs.columns)
+    found = join(docs, id_col, text_col, **options).where("stays").select("doc", "tag")
+    return keyed(docs, id_col, text_col).join(found, ["doc", "tag"], "left_semi").dropDuplicates(["doc", "tag"]).select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

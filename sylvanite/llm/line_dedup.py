@@ -195,13 +195,15 @@ def keep(text: str, drop: bytes | None) -> tuple[int, int, str]:
     return len(lines), len(lines) - len(left), "\n".join(left)
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc, tag): whole rows as structs, so that no column of theirs can clash, with their key."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("doc"), F.xxhash64(text).alias("tag"))
+
+
 def with_drops(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with the column __drop."""
-    drops = dropped_lines(docs, id_col, text_col, **options)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
-    tag = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    named = drops.select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("drop").alias("__drop"))
-    return docs.withColumn("__key", key).join(named, (F.col("__key") == F.col("__doc")) & (tag == F.col("__tag")), "left").drop("__key", "__doc", "__tag")
+    """(row, drop): each row of docs as a struct with its bitmap, null where nothing goes."""
+    return keyed(docs, id_col, text_col).join(dropped_lines(docs, id_col, text_col, **options), ["doc", "tag"], "left").select("row", "drop")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -211,8 +213,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def left(text, drop):
         return text.where(drop.isna(), [None if d is None else keep(t or "", d)[2] for t, d in zip(text, drop)])
 
-    kept = with_drops(docs, id_col, text_col, **options)
-    return kept.withColumn(text_col, F.when(F.col("__drop").isNull(), F.col(text_col)).otherwise(left(text_col, "__drop"))).select(*docs.columns)
+    old = F.col("row")[text_col]
+    new = F.when(F.col("drop").isNull(), old).otherwise(left(old, F.col("drop")))
+    return with_drops(docs, id_col, text_col, **options).select(*(new.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 SUMMARY = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
@@ -227,7 +230,7 @@ def _summary(batches):
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return with_drops(docs).mapInArrow(_summary, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return with_drops(docs).select("row.doc_id", "row.text", "drop").mapInArrow(_summary, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 OP2_SQL = r"""

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ._run import cut, parallelism, table
 from ._text import buffer, hashed, mix
-from .line_dedup import LOWEST, _source
+from .line_dedup import _source, keyed
 from .lm_score import Sums, _rows
 
 GRAM, SEGMENT, PLACE = 32, 4 << 20, 24
@@ -412,13 +412,15 @@ def _summary(batches):
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400) -> DataFrame:
-    """docs with the columns __starts and __ends, null where nothing is to go."""
-    found = spans(docs, id_col, text_col, size).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST))
-    tag = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return docs.withColumn("__key", key).join(found, (F.col("__key") == F.col("__doc")) & (tag == F.col("__tag")), "left").drop("__key", "__doc", "__tag")
+    """(row, starts, ends): each row of docs as a struct with the spans to remove, null where nothing is to go."""
+    return keyed(docs, id_col, text_col).join(spans(docs, id_col, text_col, size), ["doc", "tag"], "left").select("row", "starts", "ends")
+
+
+def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 400) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
+    pair = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return with_spans(pair, size=size).select("row.doc_id", "row.text", "starts", "ends").mapInArrow(_summary, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return with_spans(docs).mapInArrow(_summary, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return removed(table(spark, sf_dir, "documents"))

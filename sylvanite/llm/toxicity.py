@@ -187,21 +187,23 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 128
     net, r = Network(), np.random.default_rng(seed)
     adam = Adam(net.p, 0.01)
     group = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    for epoch in range(epochs):
-        if epoch < 1:
+    # small samples are gone through more often
+    turns = max(epochs, min(60, -(-400 * batch // (int(y.sum()) + 3 * int((y == 0).sum())))))
+    for epoch in range(turns):
+        if epoch < max(1, turns // epochs):
             score = r.random(len(owner))
         else:
             score = _score(net, net.inputs(words, grams, begin), start, size, inverse)
         order = np.lexsort((-score, owner))  # each document's windows, highest first
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order)) - np.repeat(group, np.diff(np.r_[group, len(owner)]))
-        positive = np.flatnonzero((y[owner] == 1) & (rank < (3 if epoch < 1 else 1)))
+        positive = np.flatnonzero((y[owner] == 1) & (rank < (3 if epoch < max(1, turns // epochs) else 1)))
         hard = np.flatnonzero((y[owner] == 0) & (rank < 1))
         rest = np.flatnonzero((y[owner] == 0) & (rank >= 1))
         negative = np.concatenate([hard, r.choice(rest, min(len(rest), 2 * len(hard)), replace=False) if len(rest) else rest])
         chosen = r.permutation(np.concatenate([positive, negative]))
         up = np.float32(max(1.0, len(negative) / max(1, len(positive)))) ** 0.5
-        adam.rate = 0.01 * 0.8**epoch
+        adam.rate = 0.01 * 0.8 ** (epoch * epochs / turns)
         for k in range(0, len(chosen), batch):
             w = chosen[k : k + batch]
             ids, live = grid(start[w], size[w], inverse)
