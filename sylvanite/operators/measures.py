@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import random
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels
-from ..sources.graphs import arcs, explode_edges, explode_vertices
+from ..functions import embedding, kernels, structure
+from ..sources.graphs import arcs, explode_edges, explode_vertices, graph_text
+from ._session import numbered
 
 NAMES = ("connected", "tree", "path", "cactus", "outerplanar", "components", "bicomponents", "blocks", "max_blocks", "bridges", "bridge_trees", "max_degree", "min_degree", "max_block_degree", "min_block_degree", "max_easiness", "min_easiness", "spanning_trees", "simple_cycles")
 COMPARE = {"<=": "__le__", "==": "__eq__", ">=": "__ge__", "!=": "__ne__", "<": "__lt__", ">": "__gt__"}
@@ -24,7 +26,7 @@ def measure(graphs: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = [kernels.measures(n, _pairs(e)) for n, e in zip(b["n"], b["edges"])]
+            rows = [{k: min(v, structure.MAX_LONG) for k, v in kernels.measures(n, _pairs(e)).items()} for n, e in zip(b["n"], b["edges"])]
             out = pd.DataFrame(rows, columns=NAMES)
             out.insert(0, "graph_id", b["graph_id"].to_numpy())
             yield out
@@ -37,13 +39,89 @@ def condition(column, comparator: str, value):
     return F.lit(True) if comparator == "pass" else getattr(column, COMPARE[comparator])(value)
 
 
-def filter_graphs(graphs: DataFrame, name: str, comparator: str = "pass", value: int = 0) -> DataFrame:
-    """The graphs whose measure compares so. Sizes, ids and labels need no per-graph pass."""
-    plain = {"graphName": "graph_id", "label": "activity", "numberOfVertices": "n", "numberOfEdges": "m"}
-    if name in plain:
-        return graphs.where(condition(F.col(plain[name]), comparator, value))
-    kept = measure(graphs).where(condition(F.col(name), comparator, value)).select("graph_id")
-    return graphs.join(kept, "graph_id", "left_semi")
+def _sampled(labels, edges, samples, rng, classes):
+    """Different spanning trees (or classes of them) among `samples` uniform ones, added over components."""
+    out = 0
+    for v, e, _ in structure.split_components(labels, edges):
+        pairs, link = [x[:2] for x in e], structure.links(e)
+        drawn = {tuple(kernels.wilson(len(v), pairs, rng)) for _ in range(samples)}
+        out += len({kernels.free_string(v, [(*p, link[p]) for p in t]) for t in drawn} if classes else drawn)
+    return out
+
+
+def _local(labels, edges, samples, rng, unique, classes):
+    """Combinations of local sampled trees, or classes of the forests they make."""
+    local = embedding.LocalTrees(labels, edges, samples, rng, unique)
+    if not classes:
+        return local.combinations()
+    link, bridges = structure.links(edges), structure.bridge_forest(labels, edges)[1]
+    forest = lambda c: [*bridges, *((*p, link[p]) for t in c for p in t)]
+    return len({tuple(structure.forest_strings(labels, forest(c))) for c in product(*local.trees.values())})
+
+
+def _per_component(f):
+    return lambda v, e, a, r: f(v, e, a, r) // max(1, len(set(kernels.component_ids(len(v), [x[:2] for x in e]))))
+
+
+_pair = lambda e: [x[:2] for x in e]
+#: measures that need more than the shape: (labels, edges, argument, random numbers) -> value
+EXTRA = {
+    "traceableCactus": lambda v, e, a, r: int(structure.traceable_cactus(len(v), _pair(e))),
+    "weaklyTraceable": lambda v, e, a, r: int(structure.weakly_traceable(len(v), _pair(e))),
+    "spanningTreeEstimate": lambda v, e, a, r: structure.tree_estimate(len(v), _pair(e)),
+    "spanningTreeListing": lambda v, e, a, r: structure.capped_trees(len(v), _pair(e), a),
+    "nonisomorphicSpanningTrees": lambda v, e, a, r: structure.tree_classes(v, e),
+    "nonisomorphicSampledSpanningTrees": lambda v, e, a, r: _sampled(v, e, a, r, True),
+    "sampledSpanningTreesFiltered": lambda v, e, a, r: _sampled(v, e, a, r, False),
+    "nonisomorphicLocallySampledSpanningTrees": lambda v, e, a, r: _local(v, e, a, r, False, True),
+    "nonisomorphicLocallySampledSpanningTreesFiltered": lambda v, e, a, r: _local(v, e, a, r, True, True),
+    "locallySampledSpanningTrees": lambda v, e, a, r: _local(v, e, a, r, False, False),
+    "locallySampledSpanningTreesFiltered": lambda v, e, a, r: _local(v, e, a, r, True, False),
+    "numberOfNonIsoCycles": lambda v, e, a, r: len(set(structure.cycle_strings(v, e))),
+    "numberOfSimpleCycles": lambda v, e, a, r: len(kernels.simple_cycles(len(v), _pair(e))),
+}
+EXTRA |= {f"{x}Normalized": _per_component(EXTRA[x]) for x in ("nonisomorphicSampledSpanningTrees", "nonisomorphicLocallySampledSpanningTrees", "nonisomorphicLocallySampledSpanningTreesFiltered", "locallySampledSpanningTrees", "locallySampledSpanningTreesFiltered")}
+#: measures that are columns of `measure`
+SHAPE = {"numberOfBlocks": "blocks", "maxBlocksPerComponent": "max_blocks", "numberOfBridges": "bridges", "numberOfBridgeTrees": "bridge_trees", "numberOfBiconnectedComponents": "bicomponents", "numberOfConnectedComponents": "components", "maxDegree": "max_degree", "minDegree": "min_degree", "maxBlockDegree": "max_block_degree", "minBlockDegree": "min_block_degree", "maxCycleDegree": "max_block_degree", "minCycleDegree": "min_block_degree", "maxLocalEasiness": "max_easiness", "minLocalEasiness": "min_easiness"} | {x: x for x in NAMES}
+PLAIN = {"graphName": "graph_id", "label": "activity", "numberOfVertices": "n", "numberOfEdges": "m"}
+
+
+def value(graphs: DataFrame, name: str, argument: int = 1000, seed: int = 0) -> DataFrame:
+    """graphs with the named measure as a column `value`. `argument`: samples, or the bound over which a count is -1.
+
+    Sizes, ids, labels and random numbers are plain columns; the others are one Arrow-batched pass without a shuffle."""
+    if name in PLAIN:
+        return graphs.withColumn("value", F.col(PLAIN[name]).cast("long"))
+    if name == "randomSample":
+        return graphs.withColumn("value", F.pmod(F.xxhash64("graph_id", F.lit(seed)), F.lit(1000)))
+    if name == "count":
+        return numbered(graphs, "graph_id", "value")
+    if name not in EXTRA and name not in SHAPE:
+        raise ValueError(f"unknown measure {name!r}")
+
+    def one(g, labels, edges):
+        e = [(x["src"], x["dst"], x["label"]) for x in edges]
+        if name in EXTRA:
+            out = EXTRA[name](list(labels), e, argument, random.Random(f"{seed}/{g}"))
+        else:
+            out = kernels.measures(len(labels), _pairs(edges))[SHAPE[name]]
+            if name in ("maxLocalEasiness", "minLocalEasiness") and out > argument:
+                out = -1
+        return min(out, structure.MAX_LONG)
+
+    @F.pandas_udf("long")
+    def run(ids: pd.Series, labels: pd.Series, edges: pd.Series) -> pd.Series:
+        return pd.Series([one(*x) for x in zip(ids, labels, edges)], dtype="int64")
+
+    return graphs.withColumn("value", run("graph_id", "vlabels", "edges"))
+
+
+def filter_graphs(graphs: DataFrame, name: str, comparator: str = "pass", threshold: int = 0, argument: int = 1000, output: str = "graph", seed: int = 0) -> DataFrame:
+    """The graphs whose measure compares so; output: graph, idAndValue, id, value or print (text of the graph and value)."""
+    kept = value(graphs, name, argument, seed).where(condition(F.col("value"), comparator, threshold))
+    if output == "print":
+        return graph_text(kept).withColumnRenamed("value", "text").join(kept.select("graph_id", "value"), "graph_id")
+    return kept.drop("value") if output == "graph" else kept.select(*{"idAndValue": ("graph_id", "value"), "id": ("graph_id",), "value": ("value",)}[output])
 
 
 def degrees(graphs: DataFrame) -> DataFrame:
@@ -121,20 +199,70 @@ def canonical_strings(graphs: DataFrame, rooted: bool = False) -> DataFrame:
     return graphs.select("graph_id", name("vlabels", "edges").alias("cstring"))
 
 
-def sampled_trees(graphs: DataFrame, samples: int = 5, seed: int = 0) -> DataFrame:
-    """(graph_id, sample, cstring): uniform spanning trees of connected graphs, seeded by graph."""
+def sampled_trees(graphs: DataFrame, samples: int = 5, seed: int = 0, how: str = "wilson", threshold: int = 1000, by_component: bool = False) -> DataFrame:
+    """(graph_id, sample, cstring): spanning trees, seeded by graph; unconnected graphs have none unless taken by component.
+
+    how: wilson (uniform), kruskal, listing, mix, partialListing, cactus, bridgeForest, listOrSample. Trees of a forest count apart."""
 
     def run(batches):
         for b in batches:
             rows = []
             for g, labels, edges in zip(b["graph_id"], b["vlabels"], b["edges"]):
-                pairs = _pairs(edges)
-                if len(set(kernels.component_ids(len(labels), pairs))) != 1:
+                e = [(x["src"], x["dst"], x["label"]) for x in edges]
+                parts = structure.split_components(list(labels), e)
+                if len(parts) != 1 and not by_component and how != "bridgeForest":
                     continue
-                rng, label = random.Random(f"{seed}/{g}"), {(e["src"], e["dst"]): e["label"] for e in edges}
-                for k in range(samples):
-                    tree = kernels.wilson(len(labels), pairs, rng)
-                    rows.append((g, k, kernels.free_string(list(labels), [(*e, label[e]) for e in tree])))
+                rng, found = random.Random(f"{seed}/{g}"), []
+                for v, pe, _ in parts:
+                    link = structure.links(pe)
+                    for tree in embedding.tree_sampler(how, len(v), [x[:2] for x in pe], samples, threshold, rng):
+                        found += structure.forest_strings(v, [(*p, link[p]) for p in tree])
+                rows += [(g, k, c) for k, c in enumerate(found)]
             yield pd.DataFrame(rows, columns=["graph_id", "sample", "cstring"])
 
     return graphs.select("graph_id", "vlabels", "edges").mapInPandas(run, "graph_id long, sample int, cstring string")
+
+
+def distinct_trees(samples: DataFrame, keep_count: bool = False) -> DataFrame:
+    """(graph_id, pattern_id, cstring[, support]): each graph's different trees; numbers are ranks in the graph."""
+    from pyspark.sql import Window
+
+    out = samples.groupBy("graph_id", "cstring").agg(F.count("*").alias("support"))
+    out = out.withColumn("pattern_id", F.row_number().over(Window.partitionBy("graph_id").orderBy("cstring")))
+    return out.select("graph_id", "pattern_id", "cstring", *(["support"] if keep_count else []))
+
+
+def components(graphs: DataFrame) -> DataFrame:
+    """(graph_id, vid, component): the least vertex of each vertex's connected component."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(g, v, c) for g, n, e in zip(b["graph_id"], b["n"], b["edges"]) for v, c in enumerate(kernels.component_ids(n, _pairs(e)))]
+            yield pd.DataFrame(rows, columns=["graph_id", "vid", "component"])
+
+    return graphs.select("graph_id", "n", "edges").mapInPandas(run, "graph_id long, vid int, component int")
+
+
+def common_neighbours(graphs: DataFrame) -> DataFrame:
+    """(graph_id, v, w, shared) of vertex pairs that have a neighbour in common."""
+    a = arcs(graphs).select("graph_id", F.col("src").alias("via"), F.col("dst").alias("v"))
+    return a.join(a.withColumnRenamed("v", "w"), ["graph_id", "via"]).where("v < w").groupBy("graph_id", "v", "w").agg(F.count("*").alias("shared"))
+
+
+def bicomponent_edges(graphs: DataFrame) -> DataFrame:
+    """(graph_id, part, src, dst, block): each edge with its biconnected component; block tells those of two edges or more."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for g, n, e in zip(b["graph_id"], b["n"], b["edges"]):
+                parts = sorted(sorted(p) for p in kernels.bicomponents(n, _pairs(e)))
+                rows += [(g, k, s, d, len(p) > 1) for k, p in enumerate(parts) for s, d in p]
+            yield pd.DataFrame(rows, columns=["graph_id", "part", "src", "dst", "block"])
+
+    return graphs.select("graph_id", "n", "edges").mapInPandas(run, "graph_id long, part int, src int, dst int, block boolean")
+
+
+def reverse(graphs: DataFrame) -> DataFrame:
+    """All arcs turned round."""
+    return graphs.withColumn("edges", F.transform("edges", lambda e: F.struct(e["dst"].alias("src"), e["src"].alias("dst"), e["label"].alias("label"))))

@@ -1,89 +1,257 @@
-"""Frequent subtree mining: a level-wise driver loop over DataFrame jobs.
+"""Frequent subtree mining: a level-wise driver loop over DataFrame jobs, with pluggable embedding operators.
 
-The driver holds patterns (small, bounded by the result), never graphs; support is counted by one Arrow-batched
-pass a level in which a graph is tested only for candidates whose parents it holds.
+The driver holds patterns (bounded by the result), never graphs. Graphs stay where they are: each level is one
+Arrow-batched pass without a shuffle in which a row carries the numbers of the last level's patterns it holds, and is
+tested only for candidates all of whose parents are among them. Lineage is cut by a checkpoint at every level.
 """
 
 from __future__ import annotations
 
+import random
+from dataclasses import dataclass, field
+from math import ceil
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import embedding, kernels, structure
+from ..sources.graphs import GRAPH, explode_edges, explode_vertices
+from ._session import cut
 from .measures import edge_support, vertex_support
 
 PATTERN = "size int, cstring string, support long"
+#: pattern numbers are broadcast up to this many
+BROADCAST = 1_000_000
+STATE = GRAPH + ", held array<int>, found array<int>"
+
+
+@dataclass(frozen=True)
+class Operator:
+    """`test(graph, pattern, rng, i, least)` -> count, where graph is what `begin(labels, edges, rng, i)` made of the row."""
+
+    test: object
+    begin: object = None
+    prepare: str | None = None
+    apriori: bool = True
+    rooted: bool = False
+    aliases: tuple = field(default=())
+
+
+def _plain(labels, edges, rng, i):
+    return labels, edges
+
+
+def _hops(how):
+    def test(g, p, rng, i, least):
+        return int(any(embedding.hops(*g, *p, rng, how) for _ in range(max(1, int(i)))))
+
+    return test
+
+
+def _estimate(g, p, rng, i, least):
+    trials = max(1, int(i))
+    mean = ceil(sum(embedding.hops(*g, *p, rng) for _ in range(trials)) / trials)
+    return min(mean, 2**31 - 1) if mean >= least else 0
+
+
+def _subtree(g, p, rng, i, least):
+    return int(embedding.subtree(*g, *p))
+
+
+def _absolute(g, p, rng, i, least):
+    return int(embedding.important(*g, *p)[0] >= i)
+
+
+def _relative(g, p, rng, i, least):
+    held, parts = embedding.important(*g, *p)
+    return int(parts > 0 and held / parts >= i)
+
+
+def _local(labels, edges, rng, i):
+    return embedding.LocalTrees(labels, edges, max(1, int(i)), rng)
+
+
+def _resampled(g, p, rng, i, least):
+    return int(embedding.LocalTrees(*g, max(1, int(i)), rng).holds(*p))
+
+
+def _rooted(g, p, rng, i, least):
+    return int(embedding.rooted_subtree(*g, *p) >= 0)
+
 
+def _rooted_hops(g, p, rng, i, least):
+    return int(any(embedding.rooted_hops(*g, *p, rng) for _ in range(max(1, int(i)))))
 
-def _extensions(cstring: str, rules: list[tuple[str, str, str]]) -> set[str]:
-    """Canonical strings of the trees with one more leaf."""
+
+#: the embedding operators by name
+OPERATORS = {
+    "subtree": Operator(_subtree),
+    "subtree_iterative": Operator(_subtree, aliases=("iterative",)),
+    "subtree_relimp": Operator(_relative, aliases=("relImp",)),
+    "subtree_absimp": Operator(_absolute, aliases=("absImp",)),
+    "exactGlobalTreeEnumeration": Operator(_subtree, prepare="all"),
+    "ps": Operator(_subtree, prepare="sampled", aliases=("probabilisticTreeSampling",)),
+    "hops": Operator(_hops("maximum"), aliases=("probabilisticTreeSamplingFKF",)),
+    "hops_estimate": Operator(_estimate),
+    "hops_simple": Operator(_hops("simple"), aliases=("probabilisticTreeSamplingFK",)),
+    "hops_simplerandom": Operator(_hops("random"), aliases=("probabilisticTreeSamplingFKR",)),
+    "hops_simplematching": Operator(_hops("matching"), aliases=("probabilisticTreeSamplingFKM",)),
+    "localEasy": Operator(_subtree),
+    "bps": Operator(lambda g, p, rng, i, least: int(g.holds(*p)), begin=_local, aliases=("localEasySampling",)),
+    "bps_resampling": Operator(_resampled, apriori=False, aliases=("localEasyResampling",)),
+    "treeEnumeration": Operator(lambda g, p, rng, i, least: 1, apriori=False),
+    "rootedTrees": Operator(_rooted, rooted=True),
+    "rootedHops": Operator(_rooted_hops, rooted=True),
+    "rootedTreeEnumeration": Operator(lambda g, p, rng, i, least: 1, apriori=False, rooted=True),
+}
+
+
+def operator(name: str) -> Operator:
+    for key, op in OPERATORS.items():
+        if name == key or name in op.aliases:
+            return op
+    raise ValueError(f"unknown embedding operator {name!r}")
+
+
+def _triples(edges):
+    return [(e["src"], e["dst"], e["label"]) for e in edges]
+
+
+def spanning_forests(graphs: DataFrame, samples: int | None, seed: int = 0) -> DataFrame:
+    """Each graph as the disjoint union of its components' spanning trees that are not isomorphic: all, or of `samples` uniform ones."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for g, a, labels, edges in zip(b["graph_id"], b["activity"], b["vlabels"], b["edges"]):
+                rng, trees = random.Random(f"{seed}/{g}"), []
+                for v, e, _ in structure.split_components(list(labels), _triples(edges)):
+                    pairs, link = [x[:2] for x in e], structure.links(e)
+                    drawn = structure.listed_trees(len(v), pairs) if samples is None else (kernels.wilson(len(v), pairs, rng) for _ in range(samples))
+                    trees += [kernels.parse_string(c) for c in sorted({kernels.free_string(v, [(*p, link[p]) for p in t]) for t in drawn})]
+                v, e = structure.merge(trees)
+                rows.append((g, a, len(v), len(e), v, [{"src": min(s, d), "dst": max(s, d), "label": x} for s, d, x in e]))
+            yield pd.DataFrame(rows, columns=["graph_id", "activity", "n", "m", "vlabels", "edges"])
+
+    return graphs.mapInPandas(run, GRAPH)
+
+
+def _extensions(cstring: str, rules, rooted: bool = False, outer: bool = True) -> set[str]:
+    """Canonical strings of the trees with one more leaf; free trees grow at the two outermost shells around their centre only."""
     labels, edges = kernels.parse_string(cstring)
+    name = kernels.rooted_string if rooted else kernels.free_string
+    far = structure.distance_to_centre(len(labels), [e[:2] for e in edges]) if outer and not rooted else [0] * len(labels)
     out = set()
     for v, label in enumerate(labels):
-        for a, e, b in rules:
-            for near, far in {(a, b), (b, a)}:
+        if far[v] >= max(far) - 1:
+            for near, e, new in rules:
                 if near == label:
-                    out.add(kernels.free_string([*labels, far], [*edges, (v, len(labels), e)]))
+                    out.add(name([*labels, new], [*edges, (v, len(labels), e)]))
     return out
 
 
-def _parents(cstring: str) -> set[str]:
-    """Canonical strings of the trees with one leaf less."""
+def _parents(cstring: str, rooted: bool = False) -> set[str]:
+    """Canonical strings of the trees with one leaf less; the root of a rooted one stays."""
     labels, edges = kernels.parse_string(cstring)
+    name = kernels.rooted_string if rooted else kernels.free_string
     degree = [sum(v in e[:2] for e in edges) for v in range(len(labels))]
     out = set()
-    for v in range(len(labels)):
+    for v in range(1 if rooted and len(labels) > 1 else 0, len(labels)):
         if degree[v] == 1:
             at = {x: k for k, x in enumerate(x for x in range(len(labels)) if x != v)}
-            out.add(kernels.free_string([labels[x] for x in at], [(at[a], at[b], e) for a, b, e in edges if v not in (a, b)]))
+            out.add(name([labels[x] for x in at], [(at[a], at[b], e) for a, b, e in edges if v not in (a, b)]))
     return out
 
 
-def support(graphs: DataFrame, patterns: list[str]) -> DataFrame:
-    """(cstring, graph_id) for each pattern that a graph contains."""
-    shared = graphs.sparkSession.sparkContext.broadcast([(p, *kernels.parse_string(p)) for p in patterns])
+def directed_edge_support(graphs: DataFrame) -> DataFrame:
+    """Graphs that hold each labelled arc (parent label, edge label, child label); edges stand from src to dst."""
+    v = explode_vertices(graphs)
+    a, b = v.select("graph_id", F.col("vid").alias("src"), F.col("label").alias("low")), v.select("graph_id", F.col("vid").alias("dst"), F.col("label").alias("high"))
+    e = explode_edges(graphs).withColumnRenamed("label", "edge_label").join(a, ["graph_id", "src"]).join(b, ["graph_id", "dst"])
+    return e.groupBy("low", "edge_label", "high").agg(F.countDistinct("graph_id").alias("support"))
+
+
+def _pass(state: DataFrame, candidates, op: Operator, i, least, seed) -> DataFrame:
+    """state with `held` and `found` of the candidates [(number, cstring, parents' numbers)]."""
+    shared = state.sparkSession.sparkContext.broadcast([(k, kernels.parse_string(c), frozenset(p)) for k, c, p in candidates])
 
     def run(batches):
-        parsed = shared.value
         for b in batches:
-            rows = []
-            for g, labels, edges in zip(b["graph_id"], b["vlabels"], b["edges"]):
-                t = [(e["src"], e["dst"], e["label"]) for e in edges]
-                held = set(labels)
-                rows += [(p, g) for p, pl, pe in parsed if set(pl) <= held and kernels.contains(list(labels), t, pl, pe)]
-            yield pd.DataFrame(rows, columns=["cstring", "graph_id"])
+            every_held, every_found = [], []
+            for g, labels, edges, old in zip(b["graph_id"], b["vlabels"], b["edges"], b["held"]):
+                begin = op.begin or _plain
+                thing = begin(list(labels), _triples(edges), random.Random(f"{seed}/{g}"), i)
+                old, labels_held, held, found = set(old), set(labels), [], []
+                for k, p, parents in shared.value:
+                    if parents <= old and (not op.apriori or set(p[0]) <= labels_held):
+                        f = op.test(thing, p, random.Random(f"{seed}/{g}/{k}"), i, least)
+                        if f:
+                            held.append(k)
+                            found.append(f)
+                every_held.append(held)
+                every_found.append(found)
+            yield b.assign(held=every_held, found=every_found)
 
-    return graphs.select("graph_id", "vlabels", "edges").mapInPandas(run, "cstring string, graph_id long")
+    return state.mapInPandas(run, STATE)
 
 
-def frequent_subtrees(graphs: DataFrame, threshold: int, max_size: int) -> DataFrame:
-    """(size, cstring, support) of all trees of up to max_size vertices that at least `threshold` graphs contain.
-
-    Levels one and two are plain aggregations; candidates of later levels extend frequent trees by frequent
-    edges and survive only if all their subtrees with one leaf less are frequent."""
-    spark = graphs.sparkSession
-    level = {r["label"] + " ": r["support"] for r in vertex_support(graphs).where(F.col("support") >= threshold).collect()}
-    found = [(1, c, s) for c, s in level.items()]
-    if max_size >= 2:
-        rows = edge_support(graphs).where(F.col("support") >= threshold).collect()
-        rules = [(r["low"], r["edge_label"], r["high"]) for r in rows]
-        level = {kernels.free_string([r["low"], r["high"]], [(0, 1, r["edge_label"])]): r["support"] for r in rows}
-        found += [(2, c, s) for c, s in level.items()]
-    for size in range(3, max_size + 1):
-        grown = set().union(*(_extensions(c, rules) for c in level)) if level else set()
-        grown = sorted(c for c in grown if _parents(c) <= level.keys())
-        if not grown:
+def mine(graphs: DataFrame, threshold: int, max_size: int, name: str = "subtree", i: float = 1, least: int = 1, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(patterns, postings): patterns (pattern_id, size, cstring, support) of up to max_size vertices with support of at
+    least `threshold`, and (pattern_id, graph_id, found). Support is the sum of what the embedding operator finds; `i` is
+    its importance or number of samples, `least` the least count that 'hops_estimate' takes as one."""
+    op, spark = operator(name), graphs.sparkSession
+    if op.prepare:
+        graphs = spanning_forests(graphs, None if op.prepare == "all" else max(1, int(i)), seed)
+    none = F.array().cast("array<int>")
+    state = cut(graphs.select("graph_id", "activity", "n", "m", "vlabels", "edges", none.alias("held"), none.alias("found")))
+    labels = [r["label"] for r in vertex_support(state).where(F.col("support") >= threshold).collect()]
+    rows = edge_support(state).where(F.col("support") >= threshold).collect()
+    rules = {(r["low"], r["edge_label"], r["high"]) for r in rows}
+    rules |= {(b, e, a) for a, e, b in rules}
+    candidates, known, found, postings = sorted(x + " " for x in labels), {}, [], []
+    for size in range(1, max_size + 1):
+        if not candidates:
             break
-        level = {r["cstring"]: r["support"] for r in support(graphs, grown).groupBy("cstring").agg(F.count("*").alias("support")).where(F.col("support") >= threshold).collect()}
-        found += [(size, c, s) for c, s in level.items()]
-    return spark.createDataFrame(found, PATTERN)
+        base = len(found)
+        # parents are asked of a graph only where a hit for a tree is one for its subtrees
+        numbered = [(base + k + 1, c, {known[p] for p in _parents(c, op.rooted)} if op.apriori and size > 1 and name != "hops_estimate" else ()) for k, c in enumerate(candidates)]
+        state = cut(_pass(state, numbered, op, i, least, seed))
+        posting = state.select(F.explode(F.arrays_zip("held", "found")).alias("x"), "graph_id").select(F.col("x.held").alias("pattern_id"), "graph_id", F.col("x.found").alias("found"))
+        support = {r["pattern_id"]: r["support"] for r in posting.groupBy("pattern_id").agg(F.sum("found").alias("support")).where(F.col("support") >= threshold).collect()}
+        known = {c: k for k, c, _ in numbered if k in support}
+        found += [(k, size, c, support.get(k)) for k, c, _ in numbered]
+        postings.append(posting)
+        grown = set().union(*(_extensions(c, rules, op.rooted) for c in known)) if known else set()
+        candidates = sorted(c for c in grown if not op.apriori or _parents(c, op.rooted) <= known.keys())
+    patterns = spark.createDataFrame([f for f in found if f[3] is not None], "pattern_id int, size int, cstring string, support long")
+    every = postings[0] if postings else spark.createDataFrame([], "pattern_id int, graph_id long, found int")
+    for p in postings[1:]:
+        every = every.unionByName(p)
+    kept = patterns.select("pattern_id")
+    return patterns, every.join(F.broadcast(kept) if len(found) <= BROADCAST else kept, "pattern_id", "left_semi")
+
+
+def frequent_subtrees(graphs: DataFrame, threshold: int, max_size: int) -> DataFrame:
+    """(size, cstring, support) of all trees of up to max_size vertices that at least `threshold` graphs contain."""
+    return mine(graphs, threshold, max_size)[0].select("size", "cstring", "support")
+
+
+def support(graphs: DataFrame, patterns: list[str], name: str = "subtree", i: float = 1, seed: int = 0) -> DataFrame:
+    """(cstring, graph_id, found) for each pattern that a graph holds by the named operator."""
+    op, none = operator(name), F.array().cast("array<int>")
+    if op.prepare:
+        graphs = spanning_forests(graphs, None if op.prepare == "all" else max(1, int(i)), seed)
+    state = graphs.select("graph_id", "activity", "n", "m", "vlabels", "edges", none.alias("held"), none.alias("found"))
+    names = F.lit(list(patterns)) if patterns else F.array().cast("array<string>")
+    hit = _pass(state, [(k, p, ()) for k, p in enumerate(patterns)], op, i, 1, seed).select("graph_id", F.explode(F.arrays_zip("held", "found")).alias("x"))
+    return hit.select(F.get(names, F.col("x.held")).alias("cstring"), "graph_id", F.col("x.found").alias("found"))
 
 
-def features(graphs: DataFrame, patterns: list[str]) -> DataFrame:
+def features(graphs: DataFrame, patterns: list[str], name: str = "subtree", i: float = 1, seed: int = 0) -> DataFrame:
     """(graph_id, activity, features): the sorted numbers of the patterns each graph contains."""
     at = F.create_map(*(x for k, p in enumerate(patterns) for x in (F.lit(p), F.lit(k))))
-    held = support(graphs, patterns).groupBy("graph_id").agg(F.sort_array(F.collect_list(at[F.col("cstring")])).alias("features"))
+    held = support(graphs, patterns, name, i, seed).groupBy("graph_id").agg(F.sort_array(F.collect_list(at[F.col("cstring")])).alias("features"))
     return graphs.select("graph_id", "activity").join(held, "graph_id", "left").withColumn("features", F.coalesce("features", F.array().cast("array<int>")))
 
 
