@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import measures, mining
 from ..sources import graphs as io
+from . import patterns
 from .bridge import graphs, with_views
 
 SMALL = "/root/testdata/sf0.001"
@@ -109,8 +110,8 @@ QUERIES = {
 
 
 def queries() -> dict:
-    return {k: q for k, (q, _) in QUERIES.items()}
+    return {k: q for k, (q, _) in (QUERIES | patterns.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in QUERIES.items() if sql}
+    return {k: sql for k, (_, sql) in (QUERIES | patterns.QUERIES).items() if sql}
