@@ -205,6 +205,9 @@ def mine(graphs: DataFrame, threshold: int, max_size: int, name: str = "subtree"
         graphs = spanning_forests(graphs, None if op.prepare == "all" else max(1, int(i)), seed)
     none = F.array().cast("array<int>")
     state = cut(graphs.select("graph_id", "activity", "n", "m", "vlabels", "edges", none.alias("held"), none.alias("found")))
+    # small collections arrive coalesced; testing containment is worth all cores
+    if state.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        state = state.repartition(spark.sparkContext.defaultParallelism)
     labels = [r["label"] for r in vertex_support(state).where(F.col("support") >= threshold).collect()]
     rows = edge_support(state).where(F.col("support") >= threshold).collect()
     rules = {(r["low"], r["edge_label"], r["high"]) for r in rows}
