@@ -1,16 +1,16 @@
 """op6: language-model scores from a log-frequency Bloom filter of n-gram counts.
 
-Model: P(word | previous) with Dirichlet smoothing, P = (c~(previous, word) + MU * P1(word)) / (c(previous) + MU).
-Words of at least `rate` * N training tokens (two at least) stand for themselves; rarer ones are first drawn as
-one of 256 classes by their last three bytes, then within the class in proportion to c + 1. Bigrams of such
-symbols are counted over all training texts; a count c is quantised to q = 1 + floor(log_1.5 c) and the filter
-holds (bigram, 1) ... (bigram, q). A count is read back by probing levels until one is missing and taken as
-the least count of its level, so that probabilities never sum to more than one but for false positives.
-
-The filter has BITS_PER_ENTRY bits for each entry and at most MAX_BITS (128 MB), which bounds what is
-broadcast; beyond that it only gets less precise. Frequent words are at most 1 / rate, so their table is
-broadcast too. Exact counts of rare words are of no bounded size: each shard (an input split) asks for its own
-distinct rare words by a join and meets them again beside its texts.
+Model: P(word | previous) with Dirichlet smoothing, P = (c~(previous, word) + MU * P1(word)) / (c(previous) + MU), where
+P1(word) = (c + 1) / (N + V + 1). Bigrams of all words, however rare, are counted over all training texts; a count c is
+quantised to q = 1 + floor(log_1.5 c) and the filter holds (bigram, 1) ... (bigram, q). A count is read back by probing
+levels until one is missing and taken as the least count of its level, so that probabilities never sum to more than one
+but for false positives.
+
+Bigrams are dealt by hash into buckets; each bucket is summed and becomes a filter of its own with BITS_PER_ENTRY bits
+for each entry. Together they have at most MAX_BITS (128 MB), which bounds what is broadcast; beyond that, at 90 million
+entries, they only get less precise. Counts of the words of at least `rate` * N training tokens (at most 1 / rate words)
+are broadcast; others are of no bounded size: each shard (an input split) asks for its own distinct rare words by a join
+and meets them again beside its texts. Scores do not depend on `rate`.
 
 Null text: empty, one end token. Null doc_id: its text form is empty in the crc rule. Repeated rows count and
 are scored each. Without training rows N = V = 0 and every token has log10(1).
@@ -26,25 +26,21 @@ from pyspark.sql import functions as F
 from ._run import cut, parallelism, small_batches, table
 from ._text import BLANK, chunks, hashed, lowered, mix, spans
 
-MU, BASE = 1000.0, 1.5
+MU, BASE = 200.0, 1.5
 BITS_PER_ENTRY, PROBES, BLOCK_BITS, MAX_BITS = 12, 4, 1 << 15, 1 << 30
-RATE = 2e-5
-CLASSES = 256
+RATE = 2e-6
 END = np.uint64(0x1B873593CC9E2D51)
 ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def tokens(data: np.ndarray, off: np.ndarray):
-    """Hash and class of each token, ends included, and where each text's begin."""
+    """Hash of each token, ends included, and where each text's begin."""
     low = lowered(data)
     s, e, first = spans(low, off, BLANK)
-    n = len(s) + len(off) - 1
-    h, cls = np.full(n, END), np.zeros(n, np.int64)
-    at = np.arange(len(s)) + np.repeat(np.arange(len(off) - 1), np.diff(first))
-    h[at] = hashed(low, s, e)
-    cls[at] = 1 + (hashed(low, np.maximum(s, e - 3), e, 3) % np.uint64(CLASSES - 1)).astype(np.int64)
-    return h, cls, first + np.arange(len(first))
+    h = np.full(len(s) + len(off) - 1, END)
+    h[np.arange(len(s)) + np.repeat(np.arange(len(off) - 1), np.diff(first))] = hashed(low, s, e)
+    return h, first + np.arange(len(first))
 
 
 class Sums:
@@ -53,8 +49,8 @@ class Sums:
     def __init__(self, limit: int = 1 << 21):
         self.parts, self.size, self.limit = [], 0, limit
 
-    def add(self, key, count, extra):
-        self.parts.append((key, count, extra))
+    def add(self, key, count):
+        self.parts.append((key, count))
         self.size += len(key)
         if self.size > self.limit:
             done = self.take()
@@ -64,68 +60,75 @@ class Sums:
     def take(self):
         if not self.parts:
             z = np.zeros(0, np.int64)
-            return z.view(np.uint64), z, z
-        key, count, extra = (np.concatenate(x) for x in zip(*self.parts))
-        u, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-        return u, np.bincount(inverse, count, len(u)).astype(np.int64), extra[at]
+            return z.view(np.uint64), z
+        key, count = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(key)
+        key = key[order]
+        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else order
+        return key[at], np.add.reduceat(count[order], at) if len(key) else count
 
 
-def _rows(key, count, extra, names, step=1 << 18):
+def _rows(key, other, names, step=1 << 18):
     for k in range(0, len(key), step):
-        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + step].view(np.int64)) for x in (key, count, extra)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(x[k : k + step].view(np.int64)) for x in (key, other)], names)
 
 
 def _word_counts(batches):
     sums = Sums()
     for b in batches:
         for _, _, data, off in chunks(b.column(0)):
-            h, cls, _ = tokens(data, off)
-            u, at, n = np.unique(h, return_index=True, return_counts=True)
-            sums.add(u, n, cls[at])
-    yield from _rows(*sums.take(), ["h", "n", "cls"])
+            sums.add(*np.unique(tokens(data, off)[0], return_counts=True))
+    yield from _rows(*sums.take(), ["h", "n"])
 
 
-class Symbols:
-    """The frequent words and the classes of the others; what the scorer needs of the unigram counts."""
+class Counts:
+    """The broadcast word counts."""
 
-    def __init__(self, h, c, class_sum, n, v):
+    def __init__(self, h, c, n, v):
         order = np.argsort(h)
         self.h, self.c = h[order], c[order].astype(np.int64)
-        self.class_sum, self.n, self.v = class_sum, n, v
+        self.n, self.v = n, v
 
     def find(self, h):
         i = np.minimum(np.searchsorted(self.h, h), max(0, len(self.h) - 1))
         return i, (self.h[i] == h) if len(self.h) else np.zeros(len(h), bool)
 
-    def map(self, h, cls):
-        """The symbol of each token."""
-        _, known = self.find(h)
-        return np.where(known, h, mix(cls.astype(np.uint64) + np.uint64(1 << 20)))
 
-
-def _pair(previous, symbol):
+def _pair(previous, word):
     with np.errstate(over="ignore"):
-        return mix(previous * np.uint64(0x9E3779B97F4A7C15) + symbol)
+        return mix(previous * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
-def _previous(symbols, first):
-    p = np.empty_like(symbols)
-    p[1:] = symbols[:-1]
+def _previous(h, first):
+    p = np.empty_like(h)
+    p[1:] = h[:-1]
     p[first[:-1]] = END  # a text follows an end
     return p
 
 
-def _bigram_counts(shared):
+def _bucket(g: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of hashes, so that sorted bigrams are sorted by bucket."""
+    return ((g >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _bigram_counts(buckets: int):
+    """A row for each bucket of a partition's bigrams: its hashes and counts as bytes."""
+
     def run(batches):
-        sums, m = Sums(), shared.value
+        sums = Sums()
         for b in batches:
             for _, _, data, off in chunks(b.column(0)):
-                h, cls, first = tokens(data, off)
+                h, first = tokens(data, off)
                 if len(h):
-                    s = m.map(h, cls)
-                    u, n = np.unique(_pair(_previous(s, first), s), return_counts=True)
-                    sums.add(u, n, np.zeros(len(u), np.int64))
-        yield from _rows(*sums.take(), ["g", "n", "zero"])
+                    sums.add(*np.unique(_pair(_previous(h, first), h), return_counts=True))
+        g, n = sums.take()
+        own = _bucket(g, buckets)
+        at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(g) else own
+        for part in range(0, len(at), 64):
+            few = at[part : part + 65]
+            ends = np.append(few[1:], len(g))[:64]
+            pairs = list(zip(few[:64].tolist(), ends.tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(own[few[:64]]), pa.array([g[i:j].tobytes() for i, j in pairs], pa.binary()), pa.array([n[i:j].tobytes() for i, j in pairs], pa.binary())], ["bucket", "g", "n"])
 
     return run
 
@@ -135,37 +138,37 @@ def level(c: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(c, 1)) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
-def _bits(g: np.ndarray, j: int | np.ndarray, blocks: int):
-    """Positions of an entry's probes: all in the block of its bigram."""
+def _bits(g: np.ndarray, j: int | np.ndarray, base: np.ndarray, blocks: int | np.ndarray):
+    """Positions of an entry's probes: all in the block of its bigram, among the blocks of its bucket."""
     with np.errstate(over="ignore"):
         x = mix(g ^ (np.asarray(j, np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-    base = np.mod(g.view(np.int64), blocks) * BLOCK_BITS
+    base = (base + (g & np.uint64(0xFFFFFFFF)).astype(np.int64) % blocks) * BLOCK_BITS
     return [base + ((x >> np.uint64(15 * k)) & np.uint64(BLOCK_BITS - 1)).astype(np.int64) for k in range(PROBES)]
 
 
-def _fill(blocks: int):
-    """Rows sorted by block in; a bitmap for each block out."""
+def _fill(most: int):
+    """Rows sorted by bucket in; a bitmap of at most `most` blocks for each bucket out."""
 
     def run(batches):
-        key, bits = None, None
+        key, sums = None, Sums()
 
         def done():
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["block", "bits"])
+            g, n = sums.take()
+            q = level(n)
+            blocks = int(max(1, min(most, -(-int(q.sum()) * BITS_PER_ENTRY // BLOCK_BITS))))
+            bits = np.zeros(blocks * BLOCK_BITS, np.uint8)
+            for j in range(1, int(q.max()) + 1):
+                for p in _bits(g[q >= j], j, np.int64(0), blocks):
+                    bits[p] = 1
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
 
         for b in batches:
-            block, g, n = (np.asarray(b.column(k)) for k in range(3))
-            for part in np.split(np.arange(len(block)), np.flatnonzero(np.diff(block)) + 1):
-                if not len(part):
-                    continue
-                if block[part[0]] != key:
+            for bucket, g, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                if bucket != key:
                     if key is not None:
                         yield done()
-                    key, bits = int(block[part[0]]), np.zeros(BLOCK_BITS, np.uint8)
-                q = level(n[part])
-                own = np.repeat(g[part].view(np.uint64), q)
-                j = np.arange(len(own)) - np.repeat(np.cumsum(q) - q, q) + 1
-                for p in _bits(own, j, blocks):
-                    bits[p - key * BLOCK_BITS] = 1
+                    key, sums = bucket, Sums()
+                sums.add(np.frombuffer(g.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int64))
         if key is not None:
             yield done()
 
@@ -175,18 +178,22 @@ def _fill(blocks: int):
 class Filter:
     """The log-frequency Bloom filter on a worker."""
 
-    def __init__(self, rows, blocks: int):
-        self.blocks = blocks
-        self.bytes = np.zeros(blocks * BLOCK_BITS // 8, np.uint8)
+    def __init__(self, rows, buckets: int):
+        rows = sorted(rows)
+        self.blocks = np.zeros(buckets, np.int64)
         for k, x in rows:
-            self.bytes[k * BLOCK_BITS // 8 : (k + 1) * BLOCK_BITS // 8] = np.frombuffer(x, np.uint8)
+            self.blocks[k] = len(x) * 8 // BLOCK_BITS
+        self.begin = np.cumsum(self.blocks) - self.blocks
+        self.bytes = np.frombuffer(b"".join(x for _, x in rows), np.uint8)
 
     def counts(self, g: np.ndarray) -> np.ndarray:
         """The least count of the level that each bigram reaches; 0 for one that was not seen."""
-        reached, live, j = np.zeros(len(g), np.int64), np.arange(len(g)), 1
+        own = _bucket(g, len(self.blocks))
+        base, blocks = self.begin[own], self.blocks[own]
+        reached, live, j = np.zeros(len(g), np.int64), np.flatnonzero(blocks > 0), 1
         while len(live) and j < 128:
             there = np.ones(len(live), bool)
-            for p in _bits(g[live], j, self.blocks):
+            for p in _bits(g[live], j, base[live], blocks[live]):
                 there &= (self.bytes[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
             live = live[there]
             reached[live] = j
@@ -194,7 +201,7 @@ class Filter:
         return np.where(reached > 0, np.ceil(BASE ** (reached - 1.0) - 1e-6), 0)
 
 
-def _score(model: Symbols, bloom: Filter, h, cls, first, rare_h, rare_c):
+def _score(model: Counts, bloom: Filter, h, first, rare_h, rare_c):
     """Known tokens, base score and score of each text."""
     i, frequent = model.find(h)
     c = np.zeros(len(h), np.float64)
@@ -203,21 +210,15 @@ def _score(model: Symbols, bloom: Filter, h, cls, first, rare_h, rare_c):
         k = np.minimum(np.searchsorted(rare_h, h), len(rare_h) - 1)
         found = ~frequent & (rare_h[k] == h)
         c[found] = rare_c[k[found]]
-    total = model.n + model.v + 1
-    base = np.log10((c + 1) / total)
-    symbol = np.where(frequent, h, mix(cls.astype(np.uint64) + np.uint64(1 << 20)))
-    mass = model.class_sum[cls]
-    own = np.where(frequent, (c + 1) / total, (mass + 1 / CLASSES) / total)
-    within = np.where(frequent, 1.0, (c + 1) / (mass + 1))
-    previous = _previous(symbol, first)
-    seen = np.where(frequent, c, mass)  # how often a symbol was a context, its c + 1 smoothing included
+    own = (c + 1) / (model.n + model.v + 1)
+    base = np.log10(own)
     context = np.empty(len(h))
-    context[1:] = seen[:-1]
+    context[1:] = c[:-1]
     j, has_end = model.find(np.array([END]))
     context[first[:-1]] = model.c[j[0]] if has_end[0] else 0
-    u, inverse = np.unique(_pair(previous, symbol), return_inverse=True)
+    u, inverse = np.unique(_pair(_previous(h, first), h), return_inverse=True)
     joint = np.minimum(bloom.counts(u)[inverse], context)
-    score = np.log10((joint + MU * own) / (context + MU) * within)
+    score = np.log10((joint + MU * own) / (context + MU))
     add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  each text has an end at least
     return add((c > 0).astype(np.int64)), add(base), add(score)
 
@@ -235,23 +236,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
     source = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held"), F.col(text_col).cast("string").alias("text"), F.when(F.input_file_name() == "", F.pmod(F.xxhash64(F.col(id_col)), F.lit(64))).otherwise(split).alias("shard"))
     training = source.where(~F.col("held")).select("text")
 
-    words = training.mapInArrow(_word_counts, "h long, n long, cls long").groupBy("h").agg(F.sum("n").alias("c"), F.min("cls").alias("cls"))
-    words = cut(words)
+    words = cut(training.mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(2, int(np.ceil(n * rate)))
-    often = words.where((F.col("c") >= least) | (F.col("h") == F.lit(int(END.astype(np.int64))))).select("h", "c").toPandas()  # at most 1 / rate rows
-    class_sum = np.zeros(CLASSES)
-    for r in words.where(F.col("c") < least).groupBy("cls").agg(F.sum(F.col("c") + 1).alias("s")).collect():
-        class_sum[r["cls"]] = r["s"]
-    model = sc.broadcast(Symbols(often["h"].to_numpy(np.int64).view(np.uint64), often["c"].to_numpy(np.int64), class_sum, n, v))
-
-    grams = training.mapInArrow(_bigram_counts(model), "g long, n long, zero long").groupBy("g").agg(F.sum("n").alias("n"))
-    grams = cut(grams)
-    entries = grams.agg(F.sum(1 + F.floor(F.log(BASE, F.col("n").cast("double")) + 1e-9))).first()[0] or 0
-    blocks = int(max(1, min(max_bits, entries * BITS_PER_ENTRY) // BLOCK_BITS))
-    placed = grams.select(F.pmod("g", F.lit(blocks)).cast("long").alias("block"), "g", "n")
-    filled = placed.repartition(parallelism(docs), "block").sortWithinPartitions("block").mapInArrow(_fill(blocks), "block long, bits binary")
-    bloom = sc.broadcast(Filter([(r["block"], r["bits"]) for r in filled.collect()], blocks))  # at most max_bits
+    common = (F.col("c") >= max(2, int(np.ceil(n * rate)))) | (F.col("h") == F.lit(int(END.astype(np.int64))))
+    often = words.where(common).toPandas()  # at most 1 / rate rows
+    model = sc.broadcast(Counts(often["h"].to_numpy(np.int64).view(np.uint64), often["c"].to_numpy(np.int64), n, v))
+
+    most = max(1, max_bits // BLOCK_BITS)
+    buckets = min(4 * parallelism(docs), most)
+    grams = training.mapInArrow(_bigram_counts(buckets), "bucket long, g binary, n binary")
+    filled = grams.repartition(parallelism(docs), "bucket").sortWithinPartitions("bucket").mapInArrow(_fill(most // buckets), "bucket long, bits binary")
+    bloom = sc.broadcast(Filter([(r["bucket"], bytes(r["bits"])) for r in filled.collect()], buckets))  # at most max_bits
 
     def distinct(batches):
         shard, sums = None, Sums()
@@ -262,20 +257,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
                 if i == j:
                     continue
                 if shard is not None and ids[i] != shard:
-                    key, _, _ = sums.take()
-                    yield from _rows(key, np.full(len(key), shard), np.zeros(len(key), np.int64), ["h", "shard", "zero"])
+                    key, _ = sums.take()
+                    yield from _rows(key, np.full(len(key), shard), ["h", "shard"])
                     sums = Sums()
                 shard = int(ids[i])
                 for _, _, data, off in chunks(b.column(0).slice(i, j - i)):
                     u = np.unique(tokens(data, off)[0])
                     u = u[~model.value.find(u)[1]]
-                    sums.add(u, np.zeros(len(u), np.int64), np.zeros(len(u), np.int64))
+                    sums.add(u, np.zeros(len(u), np.int64))
         if shard is not None:
-            key, _, _ = sums.take()
-            yield from _rows(key, np.full(len(key), shard), np.zeros(len(key), np.int64), ["h", "shard", "zero"])
+            key, _ = sums.take()
+            yield from _rows(key, np.full(len(key), shard), ["h", "shard"])
 
-    asked = source.select("text", "shard").mapInArrow(distinct, "h long, shard long, zero long").select("h", "shard")
-    rare = asked.join(words.where(F.col("c") < least).select("h", "c"), "h").select("shard", "h", "c")
+    asked = source.select("text", "shard").mapInArrow(distinct, "h long, shard long")
+    rare = asked.join(words.where(~common), "h").select("shard", "h", "c")
 
     def run(left, right):
         m, f = model.value, bloom.value
@@ -287,8 +282,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate:
         left = left.combine_chunks()
         for b in left.to_batches():
             for i, j, data, off in chunks(b.column("text")):
-                t, cls, first = tokens(data, off)
-                known, base, value = _score(m, f, t, cls, first, h, c)
+                t, first = tokens(data, off)
+                known, base, value = _score(m, f, t, first, h, c)
                 out.append(pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), b.column("held").slice(i, j - i), pa.array(np.diff(first), pa.int64()), pa.array(known), pa.array(np.full(j - i, m.n), pa.int64()), pa.array(base), pa.array(value)], schema=ARROW))
         return pa.Table.from_batches(out, ARROW)
 
