@@ -20,10 +20,10 @@ _EVENTS = """
   SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events"""
 USER_V = f"""
   SELECT CAST(user_id AS BIGINT) AS graph_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_type) - 1 AS BIGINT) AS vid, event_type AS label
-  FROM (SELECT DISTINCT user_id, event_type FROM ({_EVENTS}) AS e WHERE r <= 9) AS t"""
+  FROM (SELECT DISTINCT user_id, event_type FROM ({_EVENTS}) AS e) AS t"""
 USER_E = f"""
   SELECT DISTINCT v.graph_id, v.vid AS src, w.vid AS dst, '1' AS label
-  FROM (SELECT user_id, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY r) AS b FROM ({_EVENTS}) AS e WHERE r <= 9) AS p
+  FROM (SELECT user_id, event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY r) AS b FROM ({_EVENTS}) AS e) AS p
   JOIN ({USER_V}) AS v ON v.graph_id = p.user_id AND v.label = least(p.a, p.b)
   JOIN ({USER_V}) AS w ON w.graph_id = p.user_id AND w.label = greatest(p.a, p.b)
   WHERE p.b IS NOT NULL AND p.a <> p.b"""

@@ -5,7 +5,7 @@ import pytest
 
 from sylvanite.functions import kernels as k
 from sylvanite.operators import generators, measures, mining
-from sylvanite.plans import catalog
+from sylvanite.plans import bridge, catalog
 from sylvanite.sources import graphs as io
 
 SF = "/root/testdata/sf0.001"
@@ -55,6 +55,14 @@ def test_canonical_strings_do_not_depend_on_numbering():
         assert k.free_string(*back) == s and k.contains(labels, e, *back)
 
 
+def test_user_graphs_hold_late_events(spark, tmp_path):
+    kinds = ["a", "b"] * 6 + ["c", "a", "d", "c"]
+    spark.createDataFrame([(k, 7, t, k) for k, t in enumerate(kinds)], "event_id long, user_id long, event_type string, ts long").write.parquet(str(tmp_path / "events.parquet"))
+    g = bridge.graphs(spark, str(tmp_path), "user").first()
+    pairs = {tuple(sorted((g.vlabels[e.src], g.vlabels[e.dst]))) for e in g.edges}
+    assert pairs == {tuple(sorted(x)) for x in zip(kinds, kinds[1:])} and list(g.vlabels) == ["a", "b", "c", "d"]
+
+
 def test_text_round_trip(spark, tmp_path):
     g = generators.random_graphs(spark, 20, 5, 0.4, seed=3)
     io.write_graphs(g, str(tmp_path / "db"))
