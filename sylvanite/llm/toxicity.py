@@ -7,7 +7,7 @@ text; a document's score is that of its highest window. Training is multiple-ins
 toxic the highest windows are the positive ones.
 
 The only thing fitted is the network, on at most `sample` toxic and 3 * `sample` clean labelled rows, first by a hash of
-doc_id, and the first SAMPLE_CHARS characters of each; all texts are scored whole.
+doc_id. Texts are learned from and scored whole.
 
 A null or empty text is one empty window. Labels that are null or whose document is missing are not used;
 if no labelled row of either class is left, every score is 0. Repeated rows give repeated rows; a null
@@ -26,7 +26,6 @@ from ._text import BLANK, buffer, chunks, hashed, lowered, spans
 
 WINDOW, STEP = 32, 16
 WORDS, CHARS, DIM, HIDDEN, ATT = 1 << 14, 1 << 13, 8, 8, 8
-SAMPLE_CHARS = 12000
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
@@ -254,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for y in (0, 1):
         few = own.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample if y else 3 * sample)
         pick = few if pick is None else pick.union(few)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, SAMPLE_CHARS).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(pick), "id").groupBy("id", "y").agg(F.min("text").alias("text")).orderBy("id").collect()
     return train([r["text"] for r in rows], [r["y"] for r in rows])
 

@@ -251,6 +251,16 @@ def test_toxicity_of_held_out_rows(spark):
     assert np.mean([p for p, y in held if y]) > 0.75
 
 
+def test_toxicity_is_trained_on_whole_texts(spark):
+    r = random.Random(5)
+    plain = lambda k: " ".join(r.choice(["sun", "tree", "river", "stone", "cloud", "bird", "road", "house"]) for _ in range(k))
+    texts = [(i, plain(3000) + (" vile scum filth" * 12 if i % 2 else "") + " " + plain(40)) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert np.mean([x.predicted == x.doc_id % 2 for x in got]) > 0.95
+
+
 def test_toxicity_of_odd_rows(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 50)] + [(5000, 1), (3, None)], "doc_id long, toxic int")
     got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
