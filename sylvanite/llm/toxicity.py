@@ -1,7 +1,8 @@
 """op9: toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 A word's input is its own embedding (hashed) beside the mean embedding of its character trigrams and of its
-first six bytes (hashed), so that unseen words are read by their characters. Inputs and their projections are
+first six bytes (hashed), so that unseen words are read by their characters. Words of more than PIECE bytes are read as
+successive pieces of that size, each a word of its own, so that texts without blanks are read to their end. Inputs and their projections are
 computed once for each distinct word of a chunk. Windows of WINDOW words overlap by half and cover the whole
 text; a document's score is that of its highest window. Training is multiple-instance: in documents marked
 toxic the highest windows are the positive ones.
@@ -25,17 +26,27 @@ from ._run import small_batches, table
 from ._text import BLANK, buffer, chunks, hashed, lowered, spans
 
 WINDOW, STEP = 32, 16
+PIECE = 64
 WORDS, CHARS, DIM, HIDDEN, ATT = 1 << 14, 1 << 13, 8, 8, 8
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
+def pieces(s: np.ndarray, e: np.ndarray, first: np.ndarray):
+    """Spans of PIECE bytes at most: longer ones are cut."""
+    count = -(-(e - s) // PIECE)
+    begin = np.concatenate([[0], np.cumsum(count)])
+    a = np.repeat(s, count) + (np.arange(begin[-1]) - np.repeat(begin[:-1], count)) * PIECE
+    return a, np.minimum(a + PIECE, np.repeat(e, count)), begin[first]
+
+
 def distinct_words(data: np.ndarray, off: np.ndarray):
     """Bucket of each distinct word; buckets of its characters' n-grams, with where each word's begin; the distinct word of each word; first word of each text."""
     low = lowered(data)
     s, e, first = spans(low, off, BLANK)
+    s, e, first = pieces(s, e, first)
     h, at, inverse = np.unique(hashed(low, s, e), return_index=True, return_inverse=True)
-    s, e = s[at], np.minimum(e[at], s[at] + 64)  # characters are read from the first 64 bytes of a word
+    s, e = s[at], e[at]
     size = e - s
     begin = np.concatenate([[0], np.cumsum(size + 1)])
     grams = np.zeros(begin[-1], np.int64)

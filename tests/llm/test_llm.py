@@ -261,6 +261,19 @@ def test_toxicity_is_trained_on_whole_texts(spark):
     assert np.mean([x.predicted == x.doc_id % 2 for x in got]) > 0.95
 
 
+def test_toxicity_reads_long_words_to_their_end():
+    import pyarrow as pa
+
+    r = random.Random(6)
+    plain = lambda k: "".join(r.choice("天地山水風雲花鳥日月") for _ in range(k))
+    texts = [plain(100) + ("毒罵恨" * 25 if i % 2 else plain(75)) + plain(30) for i in range(80)]
+    net = toxicity.train(texts[:40], [i % 2 for i in range(40)])
+    got = toxicity.score_texts(net, *toxicity.buffer(pa.array(texts[40:])))
+    assert np.mean([(x >= 0.5) == i % 2 for i, x in enumerate(got)]) > 0.9
+    words, _, begin, inverse, first = toxicity.distinct_words(*toxicity.buffer(pa.array(["ab " + "x" * 130, "", "y" * 64])))
+    assert first.tolist() == [0, 4, 4, 5] and sorted(np.diff(begin)[inverse].tolist()) == [3, 3, 65, 65, 65]
+
+
 def test_toxicity_of_odd_rows(spark, docs, empty):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 50)] + [(5000, 1), (3, None)], "doc_id long, toxic int")
     got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
