@@ -35,7 +35,7 @@ def _frequent_edges(s, d):
 
 def _mined(s, d):
     g = graphs(s, d, "order")
-    return mining.frequent_subtrees(g, -(-g.count() * 3 // 100), 3)
+    return mining.frequent_subtrees(g, -(-g.count() * 3 // 100), patterns.MAX_SIZE)
 
 
 def _user_measures(*names):
@@ -64,13 +64,14 @@ _CYCLES = """, arc AS (SELECT graph_id, src AS a, dst AS b FROM e UNION ALL SELE
     SELECT g.graph_id, CAST(count(w.start) AS BIGINT) AS simple_cycles FROM (SELECT DISTINCT graph_id FROM v) AS g LEFT JOIN
       (SELECT walk.graph_id, start FROM walk JOIN arc ON arc.graph_id = walk.graph_id AND arc.a = walk.at AND arc.b = walk.start WHERE len(seen) > 2 AND seen[2] < seen[-1]) AS w
       ON w.graph_id = g.graph_id GROUP BY g.graph_id"""
-_STAR3 = """, least AS (SELECT CAST(ceil(count(DISTINCT graph_id) * 3 / 100.0) AS BIGINT) AS t FROM v),
-    arm AS (SELECT e.graph_id, e.dst, c.label AS centre, e.label AS el, l.label AS leaf FROM e JOIN v AS c ON c.graph_id = e.graph_id AND c.vid = 0 JOIN v AS l ON l.graph_id = e.graph_id AND l.vid = e.dst),
+_STARS = """, least AS (SELECT CAST(ceil(count(DISTINCT graph_id) * 3 / 100.0) AS BIGINT) AS t FROM v),
+    arm AS (SELECT e.graph_id, c.label AS centre, e.label AS el, l.label AS leaf, row_number() OVER (PARTITION BY e.graph_id ORDER BY e.label, l.label, e.dst) AS k FROM e JOIN v AS c ON c.graph_id = e.graph_id AND c.vid = 0 JOIN v AS l ON l.graph_id = e.graph_id AND l.vid = e.dst),
+    star AS (SELECT graph_id, 2 AS size, k, concat(centre, ' ( ', el, ' ', leaf, ' ) ') AS s FROM arm UNION ALL
+      SELECT s.graph_id, s.size + 1, a.k, concat(s.s, '( ', a.el, ' ', a.leaf, ' ) ') FROM star AS s JOIN arm AS a ON a.graph_id = s.graph_id AND a.k > s.k),
     one AS (SELECT 1 AS size, concat(label, ' ') AS cstring, count(DISTINCT graph_id) AS support FROM v GROUP BY label),
     two AS (SELECT 2 AS size, concat(least(centre, leaf), ' ( ', el, ' ', greatest(centre, leaf), ' ) ') AS cstring, count(DISTINCT graph_id) AS support FROM arm GROUP BY 2),
-    three AS (SELECT 3 AS size, concat(p.centre, ' ( ', p.el, ' ', p.leaf, ' ) ( ', q.el, ' ', q.leaf, ' ) ') AS cstring, count(DISTINCT p.graph_id) AS support
-      FROM arm AS p JOIN arm AS q ON q.graph_id = p.graph_id AND q.dst <> p.dst AND (p.el < q.el OR (p.el = q.el AND p.leaf <= q.leaf)) GROUP BY 2)
-    SELECT CAST(size AS INTEGER) AS size, cstring, CAST(support AS BIGINT) AS support FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three) AS a, least WHERE support >= t"""
+    more AS (SELECT size, s AS cstring, count(DISTINCT graph_id) AS support FROM star WHERE size > 2 GROUP BY 1, 2)
+    SELECT CAST(size AS INTEGER) AS size, cstring, CAST(support AS BIGINT) AS support FROM (SELECT * FROM one UNION ALL SELECT * FROM two UNION ALL SELECT * FROM more) AS a, least WHERE support >= t"""
 _SIZES = """SELECT v.graph_id, n, CAST(coalesce(m, 0) AS BIGINT) AS m FROM (SELECT graph_id, count(*) AS n FROM v GROUP BY graph_id) AS v LEFT JOIN (SELECT graph_id, count(*) AS m FROM e GROUP BY graph_id) AS e USING (graph_id)"""
 
 #: name: (query, SQL or None)
@@ -101,7 +102,7 @@ QUERIES = {
       SELECT concat_ws(' ', v.label, near.l) AS label, count(*) AS vertices FROM v LEFT JOIN near ON near.graph_id = v.graph_id AND near.a = v.vid GROUP BY 1""")),
     "star_strings_order": (lambda s, d: measures.canonical_strings(graphs(s, d, "order").where("n >= 4")), with_views("order", """, arm AS (SELECT e.graph_id, e.label AS el, v.label AS leaf FROM e JOIN v ON v.graph_id = e.graph_id AND v.vid = e.dst)
       SELECT c.graph_id, concat(c.label, ' ', string_agg(concat('( ', el, ' ', leaf, ' ) '), '' ORDER BY el, leaf)) AS cstring FROM v AS c JOIN arm USING (graph_id) WHERE c.vid = 0 GROUP BY c.graph_id, c.label HAVING count(*) >= 3""")),
-    "frequent_subtrees_order": (_mined, with_views("order", _STAR3)),
+    "frequent_subtrees_order": (_mined, with_views("order", _STARS)),
     "sampled_trees_user": (lambda s, d: measures.sampled_trees(graphs(s, d, "user")), None),
     "graph_text_user": (lambda s, d: io.graph_text(graphs(s, d, "user")), with_views("user", """, vl AS (SELECT graph_id, count(*) AS n, string_agg(label, ' ' ORDER BY vid) AS l FROM v GROUP BY 1),
       el AS (SELECT graph_id, count(*) AS m, string_agg(concat(src + 1, ' ', dst + 1, ' ', label), ' ' ORDER BY src, dst) AS l FROM e GROUP BY 1)

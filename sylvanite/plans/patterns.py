@@ -14,30 +14,41 @@ from .bridge import graphs, with_views
 
 #: share of the conversations that a frequent pattern is in, in percent
 SHARE = 3
+#: mining goes on until a level is empty, to this size at most
+MAX_SIZE = 20
+#: enumerations name trees without asking the graphs, so that no level is empty: their size is an argument
+ENUMERATED = {"treeEnumeration": 3, "rootedTreeEnumeration": 3}
 
 
 def _mine(name: str, i: float):
     def query(s, d):
         g = graphs(s, d, "conv")
-        return mining.mine(g, -(-g.count() * SHARE // 100), 3, name, i)[0].select("size", "cstring", F.col("support").cast("long").alias("support"))
+        return mining.mine(g, -(-g.count() * SHARE // 100), ENUMERATED.get(name, MAX_SIZE), name, i)[0].select("size", "cstring", F.col("support").cast("long").alias("support"))
 
     return query
 
 
 def _postings(s, d):
     g = graphs(s, d, "conv")
-    patterns, postings = mining.mine(g, -(-g.count() * SHARE // 100), 3)
+    patterns, postings = mining.mine(g, -(-g.count() * SHARE // 100), MAX_SIZE)
     return postings.join(patterns, "pattern_id").select("cstring", "graph_id")
 
 
+#: chains from a vertex to lower and to higher turns, and the paths of all sizes: from one vertex down, or named at their centres
 _PATHS = f""", least AS (SELECT CAST(ceil(count(DISTINCT graph_id) * {SHARE} / 100.0) AS BIGINT) AS t FROM v),
-    p AS (SELECT a.graph_id, a.label AS x, b.label AS y, c.label AS z FROM v AS a LEFT JOIN v AS b ON b.graph_id = a.graph_id AND b.vid = a.vid + 1 LEFT JOIN v AS c ON c.graph_id = a.graph_id AND c.vid = a.vid + 2),
-    hit AS (SELECT 1 AS size, concat(x, ' ') AS cstring, graph_id FROM p
-      UNION SELECT 2, {{two}}, graph_id FROM p WHERE y IS NOT NULL
-      UNION SELECT 3, {{three}}, graph_id FROM p WHERE z IS NOT NULL),
+    up AS (SELECT graph_id, vid, 1 AS len, concat(label, ' ') AS s FROM v UNION ALL
+      SELECT v.graph_id, v.vid, c.len + 1, concat(v.label, ' ( 1 ', c.s, ') ') FROM up AS c JOIN v ON v.graph_id = c.graph_id AND v.vid = c.vid + 1),
+    down AS (SELECT graph_id, vid, 1 AS len, concat(label, ' ') AS s FROM v UNION ALL
+      SELECT v.graph_id, v.vid, c.len + 1, concat(v.label, ' ( 1 ', c.s, ') ') FROM down AS c JOIN v ON v.graph_id = c.graph_id AND v.vid = c.vid - 1),
+    lo AS (SELECT graph_id, vid + 1 AS c, len, s FROM up UNION ALL SELECT graph_id, vid, 0, '' FROM v),
+    hi AS (SELECT graph_id, vid - 1 AS c, len, s FROM down UNION ALL SELECT graph_id, vid, 0, '' FROM v),
+    rooted AS (SELECT v.graph_id, v.vid - lo.len AS start, lo.len + hi.len + 1 AS size, concat(v.label, ' ', CASE WHEN least(lo.s, hi.s) = '' THEN '' ELSE concat('( 1 ', least(lo.s, hi.s), ') ') END,
+        CASE WHEN greatest(lo.s, hi.s) = '' THEN '' ELSE concat('( 1 ', greatest(lo.s, hi.s), ') ') END) AS s
+      FROM v JOIN lo ON lo.graph_id = v.graph_id AND lo.c = v.vid JOIN hi ON hi.graph_id = v.graph_id AND hi.c = v.vid WHERE abs(lo.len - hi.len) <= 1),
+    hit AS ({{hit}}),
     found AS (SELECT size, cstring, count(*) AS support FROM hit GROUP BY 1, 2)"""
-_FREE = _PATHS.format(two="concat(least(x, y), ' ( 1 ', greatest(x, y), ' ) ')", three="concat(y, ' ( 1 ', least(x, z), ' ) ( 1 ', greatest(x, z), ' ) ')")
-_ROOTED = _PATHS.format(two="concat(x, ' ( 1 ', y, ' ) ')", three="concat(x, ' ( 1 ', y, ' ( 1 ', z, ' ) ) ')")
+_FREE = _PATHS.format(hit="SELECT DISTINCT size, cstring, graph_id FROM (SELECT graph_id, start, size, min(s) AS cstring FROM rooted GROUP BY 1, 2, 3) AS p")
+_ROOTED = _PATHS.format(hit="SELECT DISTINCT len AS size, s AS cstring, graph_id FROM down")
 _FOUND = " SELECT CAST(size AS INTEGER) AS size, cstring, support FROM found, least WHERE support >= t"
 #: operators that are exact on paths, whatever their samples
 EXACT = ("subtree", "subtree_iterative", "subtree_relimp", "subtree_absimp", "exactGlobalTreeEnumeration", "ps", "localEasy", "bps", "bps_resampling")

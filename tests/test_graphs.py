@@ -108,3 +108,11 @@ def test_query_against_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_without_sql_has_rows(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
+
+
+def test_paths_and_stars_are_mined_to_their_end(spark, tmp_path):
+    spark.createDataFrame([(c, t, "uas"[t % 3]) for c in range(3) for t in range(6)], "conv_id long, turn long, role string").write.parquet(str(tmp_path / "conversations.parquet"))
+    q = catalog.queries()
+    assert max(r["size"] for r in q["mine_subtree"](spark, str(tmp_path)).collect()) == 6
+    assert max(len(k.parse_string(r.cstring)[0]) for r in q["postings_conv"](spark, str(tmp_path)).collect()) == 6
+    assert max(r["size"] for r in q["frequent_subtrees_order"](spark, SF).collect()) > 3
