@@ -100,8 +100,9 @@ QUERIES = {
     "weisfeiler_lehman_conv": (lambda s, d: measures.weisfeiler_lehman(graphs(s, d, "conv")).groupBy("label").agg(F.count("*").alias("vertices")), with_views("conv", """, arc AS (SELECT graph_id, src AS a, dst AS b FROM e UNION ALL SELECT graph_id, dst, src FROM e),
       near AS (SELECT arc.graph_id, a, string_agg(label, ' ' ORDER BY label) AS l FROM arc JOIN v ON v.graph_id = arc.graph_id AND v.vid = arc.b GROUP BY 1, 2)
       SELECT concat_ws(' ', v.label, near.l) AS label, count(*) AS vertices FROM v LEFT JOIN near ON near.graph_id = v.graph_id AND near.a = v.vid GROUP BY 1""")),
-    "star_strings_order": (lambda s, d: measures.canonical_strings(graphs(s, d, "order").where("n >= 4")), with_views("order", """, arm AS (SELECT e.graph_id, e.label AS el, v.label AS leaf FROM e JOIN v ON v.graph_id = e.graph_id AND v.vid = e.dst)
-      SELECT c.graph_id, concat(c.label, ' ', string_agg(concat('( ', el, ' ', leaf, ' ) '), '' ORDER BY el, leaf)) AS cstring FROM v AS c JOIN arm USING (graph_id) WHERE c.vid = 0 GROUP BY c.graph_id, c.label HAVING count(*) >= 3""")),
+    "star_strings_order": (lambda s, d: measures.canonical_strings(graphs(s, d, "order")), with_views("order", """, arm AS (SELECT e.graph_id, e.label AS el, v.label AS leaf FROM e JOIN v ON v.graph_id = e.graph_id AND v.vid = e.dst)
+      SELECT c.graph_id, CASE count(leaf) WHEN 0 THEN concat(c.label, ' ') WHEN 1 THEN concat(least(c.label, min(leaf)), ' ( ', min(el), ' ', greatest(c.label, min(leaf)), ' ) ')
+        ELSE concat(c.label, ' ', string_agg(concat('( ', el, ' ', leaf, ' ) '), '' ORDER BY el, leaf)) END AS cstring FROM v AS c LEFT JOIN arm USING (graph_id) WHERE c.vid = 0 GROUP BY c.graph_id, c.label""")),
     "frequent_subtrees_order": (_mined, with_views("order", _STARS)),
     "sampled_trees_user": (lambda s, d: measures.sampled_trees(graphs(s, d, "user")), None),
     "graph_text_user": (lambda s, d: io.graph_text(graphs(s, d, "user")), with_views("user", """, vl AS (SELECT graph_id, count(*) AS n, string_agg(label, ' ' ORDER BY vid) AS l FROM v GROUP BY 1),

@@ -116,3 +116,8 @@ def test_paths_and_stars_are_mined_to_their_end(spark, tmp_path):
     assert max(r["size"] for r in q["mine_subtree"](spark, str(tmp_path)).collect()) == 6
     assert max(len(k.parse_string(r.cstring)[0]) for r in q["postings_conv"](spark, str(tmp_path)).collect()) == 6
     assert max(r["size"] for r in q["frequent_subtrees_order"](spark, SF).collect()) > 3
+
+
+def test_orders_of_any_size_have_a_string(spark):
+    got = catalog.queries()["star_strings_order"](spark, SF)
+    assert got.count() == spark.read.parquet(f"{SF}/orders.parquet").count()
