@@ -6,6 +6,11 @@ every maximal run of lines that share a bigram with some template, and (if there
 [a * t / (2 - t), a * (2 - t) / t] for a unit of a bigrams, and with at least t * (a + b) / 2 bigrams in common
 at most; others are not compared. A unit or template of one word has that word as its only gram.
 
+Where no unit around it reaches t for a template, the windows of the text's words whose number of bigrams lies in those
+bounds are compared too: notices inside longer lines, paragraphs and texts without line ends. Windows begin and end with
+a bigram of the template, as others score less; of windows that overlap the best is the match. Templates of one word are
+looked for in units only.
+
 Null or empty text: no units match. Templates are a parameter: {name: text}; equal templates all match.
 A null doc_id stays null; repeated rows give repeated rows.
 """
@@ -47,12 +52,57 @@ def grams(data: np.ndarray, off: np.ndarray):
     return ngrams(hashed(low, s, e), first, 2)
 
 
+def place(data: np.ndarray, off: np.ndarray):
+    """Bigram hashes of each text, where each text's begin, and the byte where each bigram begins."""
+    low = lowered(data)
+    s, e, first = spans(low, off, ALNUM)
+    g, begin = ngrams(hashed(low, s, e), first, 2)
+    return g, begin, s[np.arange(len(g)) + np.repeat(first[:-1] - begin[:-1], np.diff(begin))] if len(g) else s
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], threshold: float):
         self.names, self.t = sorted(templates), threshold
-        g, begin = grams(*buffer(pa.array([templates[n] for n in self.names], pa.string())))
+        data, off = buffer(pa.array([templates[n] for n in self.names], pa.string()))
+        g, begin = grams(data, off)
         self.sets = [frozenset(g[a:b].tolist()) for a, b in zip(begin[:-1], begin[1:])]
         self.all = np.unique(g)
+        size = np.diff(spans(lowered(data), off, ALNUM)[2])
+        self.words = [np.unique(g[a:b]) if n > 1 else g[:0] for n, a, b in zip(size, begin[:-1], begin[1:])]
+
+    def windows(self, g: np.ndarray, begin: np.ndarray):
+        """(text, template, first and last bigram, score) of the best of overlapping windows at or over the threshold."""
+        if not len(self.all):
+            return
+        hits = np.flatnonzero(self.all[np.minimum(np.searchsorted(self.all, g), len(self.all) - 1)] == g)
+        text = np.searchsorted(begin, hits, "right") - 1
+        for k, own in enumerate(self.sets):
+            b, t = len(own), self.t
+            if not len(self.words[k]):
+                continue
+            held = np.isin(g[hits], self.words[k])
+            at, of = hits[held], text[held]
+            need, most = max(1, int(np.ceil(t * b / (2 - t) - 1e-9))), int(b * (2 - t) / t + 1e-9)
+            if len(at) < need:
+                continue
+            last = len(at) - need + 1
+            start = np.flatnonzero((at[need - 1 :] - at[:last] < most) & (of[need - 1 :] == of[:last]))
+            best = None
+            for i in start.tolist():
+                for j in range(i + need - 1, int(np.searchsorted(at, at[i] + most))):
+                    if of[j] != of[i]:
+                        break
+                    unit = set(g[at[i] : at[j] + 1].tolist())
+                    d = 2 * len(unit & own) / (len(unit) + b)
+                    if d >= t:
+                        new = (int(of[i]), k, int(at[i]), int(at[j]), d)
+                        if best is not None and (best[0] != new[0] or best[3] < new[2]):
+                            yield best
+                            best = None
+                        if best is None or d > best[4]:
+                            best = new
+            if best is not None:
+                yield best
 
     def dice(self, unit: set) -> list[tuple[int, float]]:
         """(template, score) at or over the threshold."""
@@ -83,6 +133,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                 warm = total[begin[1:]] > total[begin[:-1]]
                 rows = [[0, {}, set()] for _ in range(j - i)]
                 owner = np.searchsorted(first, np.flatnonzero(warm), "right") - 1
+                matched: dict[tuple[int, int], list[tuple[int, int]]] = {}
                 by_doc: dict[int, list[int]] = {}
                 for d, line in zip(owner.tolist(), np.flatnonzero(warm).tolist()):
                     by_doc.setdefault(d, []).append(line)
@@ -105,6 +156,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                             rows[d][0] += 1
                             rows[d][1][t] = max(score, rows[d][1].get(t, 0))
                             rows[d][2].add(a - int(first[d]))
+                            matched.setdefault((d, t), []).append((int(bounds[a]), int(bounds[z])))
+                g, begin, byte = place(data, off)
+                for d, t, x, y, score in scanner.windows(g, begin):
+                    if not any(a <= byte[y] and byte[x] < z for a, z in matched.get((d, t), ())):
+                        rows[d][0] += 1
+                        rows[d][1][t] = max(score, rows[d][1].get(t, 0))
+                        rows[d][2].add(int(np.searchsorted(starts, byte[x], "right")) - 1 - int(first[d]))
                 out = []
                 for d, (n, best, where) in enumerate(rows):
                     top = min(((-s, t) for t, s in best.items()), default=None)

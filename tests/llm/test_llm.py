@@ -224,6 +224,16 @@ def test_licenses(spark, empty):
     assert abs(got.best_score - max(dice(line, t) for t in licenses.TEMPLATES.values())) < 1e-12
 
 
+def test_licenses_inside_longer_texts(spark):
+    words = " ".join(f"word{k}" for k in range(60))
+    texts = {
+        1: ("Copyright 2020 Example Corp. All rights reserved.", "All-rights-reserved", [0]), 2: ("Copyright (c) 2024 Jane Doe. Released under the MIT License.", "MIT", [0]),
+        3: (f"{words}\n{words} {licenses.TEMPLATES['BSD']}: {words} {words}", "BSD", [1]), 4: (f"{words} of the\n{words} All\nrights\nreserved. {words}", "All-rights-reserved", [1]), 5: (f"{words} rights of the license", None, []),
+    }
+    got = licenses.scan(spark.createDataFrame([(i, x[0]) for i, x in texts.items()], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.best_license, r.match_lines, r.best_score) for r in got} == {i: (x[1], x[2], 1.0 if x[1] else 0.0) for i, x in texts.items()}
+
+
 def test_nearest_neighbours(spark):
     r = np.random.default_rng(1)
     x = r.standard_normal((600, 8)).astype(np.float32)
