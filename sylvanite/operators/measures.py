@@ -78,7 +78,7 @@ EXTRA = {
     "locallySampledSpanningTrees": lambda v, e, a, r: _local(v, e, a, r, False, False),
     "locallySampledSpanningTreesFiltered": lambda v, e, a, r: _local(v, e, a, r, True, False),
     "numberOfNonIsoCycles": lambda v, e, a, r: len(set(structure.cycle_strings(v, e))),
-    "numberOfSimpleCycles": lambda v, e, a, r: len(kernels.simple_cycles(len(v), _pair(e))),
+    "numberOfSimpleCycles": lambda v, e, a, r: sum(1 for _ in kernels.simple_cycles(len(v), _pair(e))),
 }
 EXTRA |= {f"{x}Normalized": _per_component(EXTRA[x]) for x in ("nonisomorphicSampledSpanningTrees", "nonisomorphicLocallySampledSpanningTrees", "nonisomorphicLocallySampledSpanningTreesFiltered", "locallySampledSpanningTrees", "locallySampledSpanningTreesFiltered")}
 #: measures that are columns of `measure`
