@@ -108,8 +108,8 @@ def _counts(size: int):
         for b in batches:
             for data, off, _, _ in _pieces(b.column(0), size):
                 u, n = np.unique(anchors(data, off, size)[0], return_counts=True)
-                sums.add(u, n, np.zeros(len(u), np.int64))
-        yield from _rows(*sums.take(), ["h", "n", "zero"])
+                sums.add(u, n)
+        yield from _rows(*sums.take(), ["h", "n"])
 
     return run
 
@@ -372,7 +372,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     if size < 2 * GRAM:
         raise ValueError(f"size is {2 * GRAM} at least")
     source = _source(docs, id_col, text_col).where(F.octet_length("text") >= size)
-    counted = source.select("text").mapInArrow(_counts(size), "h long, n long, zero long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = source.select("text").mapInArrow(_counts(size), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
     shared = membership(cut(counted.select("h")))
     # settled runs carry no anchor; they are dealt by their text
     rows = source.mapInArrow(_contexts(shared, size), ROWS)
