@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder. Where none is named, a temporary one in local mode, as in tests; a cluster must name one."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not sc._jsc.sc().getCheckpointDir().isDefined():
+            if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        root = sc._jsc.sc().getCheckpointDir().get()
+    return root
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the cluster's checkpoint folder; a temporary one only where none is configured."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().isDefined()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    """Materialise in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -44,14 +57,7 @@ def text_column(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet in the shared checkpoint folder and read again."""
-    import uuid
-
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-        root = sc._jsc.sc().getCheckpointDir().get()
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)

@@ -8,7 +8,8 @@ text; a document's score is that of its highest window. Training is multiple-ins
 toxic the highest windows are the positive ones.
 
 The only thing fitted is the network, on at most `sample` toxic and 3 * `sample` clean labelled rows, first by a hash of
-doc_id. Texts are learned from and scored whole.
+doc_id, in one task of an executor: a lost one is run again, from the same seed. Texts are learned from and scored whole,
+and the number of updates is the same for any number of rows.
 
 A null or empty text is one empty window. Labels that are null or whose document is missing are not used;
 if no labelled row of either class is left, every score is 0. Repeated rows give repeated rows; a null
@@ -17,6 +18,8 @@ doc_id stays null and counts as the empty text in the held-out rule.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +43,8 @@ def pieces(s: np.ndarray, e: np.ndarray, first: np.ndarray):
     return a, np.minimum(a + PIECE, np.repeat(e, count)), begin[first]
 
 
-def distinct_words(data: np.ndarray, off: np.ndarray):
-    """Bucket of each distinct word; buckets of its characters' n-grams, with where each word's begin; the distinct word of each word; first word of each text."""
+def _distinct(data: np.ndarray, off: np.ndarray):
+    """Hash of each distinct word; buckets of its characters' n-grams, with where each word's begin; the distinct word of each word; first word of each text."""
     low = lowered(data)
     s, e, first = spans(low, off, BLANK)
     s, e, first = pieces(s, e, first)
@@ -61,6 +64,28 @@ def distinct_words(data: np.ndarray, off: np.ndarray):
         x = before * np.uint64(0x9E3779B97F4A7C15) + padded[np.minimum(a, len(low))] * np.uint64(0xC4CEB9FE1A85EC53) + after * np.uint64(0xFF51AFD7ED558CCD)
         grams = ((x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(51)).astype(np.int64) % CHARS
         grams[begin[1:] - 1] = (hashed(low, s, np.minimum(e, s + 6), 7) % np.uint64(CHARS)).astype(np.int64)
+    return h, grams, begin, inverse, first
+
+
+def distinct_words(data: np.ndarray, off: np.ndarray):
+    """As _distinct, with the bucket of each distinct word for its hash."""
+    h, *rest = _distinct(data, off)
+    return (h % np.uint64(WORDS)).astype(np.int64), *rest
+
+
+def joined_words(parts):
+    """distinct_words() of texts read chunk by chunk: the parts' words are told apart by hash."""
+    h = np.concatenate([p[0] for p in parts])
+    size = np.concatenate([np.diff(p[2]) for p in parts])
+    grams = np.concatenate([p[1].astype(np.int16) for p in parts])  # CHARS buckets fit
+    h, at, to = np.unique(h, return_index=True, return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum(size[at])])
+    old = np.cumsum(size) - size
+    grams = grams[np.repeat(old[at] - begin[:-1], size[at]) + np.arange(begin[-1])]
+    words = np.cumsum([0] + [len(p[0]) for p in parts])
+    inverse = np.concatenate([to[p[3] + w].astype(np.int32) for p, w in zip(parts, words)])
+    ends = np.cumsum([0] + [len(p[3]) for p in parts])
+    first = np.concatenate([[0], *(p[4][1:] + e for p, e in zip(parts, ends))])
     return (h % np.uint64(WORDS)).astype(np.int64), grams, begin, inverse, first
 
 
@@ -86,20 +111,25 @@ class Network:
             self.p |= {f"w{d}": f(2 * DIM, 3 * HIDDEN), f"u{d}": f(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
         self.p |= {"a": f(2 * HIDDEN, ATT), "v": f(ATT), "o": f(2 * HIDDEN), "bias": np.zeros(1, np.float32)}
 
-    def inputs(self, words, grams, begin):
+    def inputs(self, words, grams, begin, step: int = 1 << 14):
         x = np.empty((len(words), 2 * DIM), np.float32)
         x[:, :DIM] = self.p["words"][words]
-        if len(words):
-            x[:, DIM:] = np.add.reduceat(self.p["chars"][grams], begin[:-1], axis=0) / np.diff(begin)[:, None]
+        for k in range(0, len(words), step):
+            e = begin[k : k + step + 1]
+            x[k : k + step, DIM:] = np.add.reduceat(self.p["chars"][grams[e[0] : e[-1]]], e[:-1] - e[0], axis=0) / np.diff(e)[:, None]
         return x
 
+    def projected(self, x):
+        """What the gates take from each distinct word's input, by direction."""
+        return {d: x @ self.p[f"w{d}"] + self.p[f"c{d}"] for d in "fb"}
+
     def forward(self, x, ids, live, keep=False):
-        """Logits of windows. x: inputs of the distinct words; ids: windows by WINDOW; live: 1 where a window has a word."""
+        """Logits of windows. x: projected inputs of the distinct words; ids: windows by WINDOW; live: 1 where a window has a word."""
         p, (m, t) = self.p, ids.shape
         hs = np.zeros((t, m, 2 * HIDDEN), np.float32)
         memo = {}
         for k, d in enumerate("fb"):
-            u, proj = p[f"u{d}"], x @ p[f"w{d}"] + p[f"c{d}"]
+            u, proj = p[f"u{d}"], x[d]
             h = np.zeros((m, HIDDEN), np.float32)
             for s in range(t) if d == "f" else range(t - 1, -1, -1):
                 g, hu = proj[ids[:, s]], h @ u
@@ -123,7 +153,7 @@ class Network:
     def gradients(self, words, grams, begin, ids, live, target, weight):
         p, (m, t) = self.p, ids.shape
         x = self.inputs(words, grams, begin)
-        out, hs, e, w, pooled, memo = self.forward(x, ids, live, True)
+        out, hs, e, w, pooled, memo = self.forward(self.projected(x), ids, live, True)
         do = (_sigmoid(out) - target) * weight / m
         g = {"bias": np.array([do.sum()], np.float32), "o": pooled.T @ do}
         dp = do[:, None] * p["o"]
@@ -187,35 +217,36 @@ def grid(start, size, inverse):
     return inverse[np.minimum(start[:, None] + t, len(inverse) - 1)] * (live > 0), live
 
 
-def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 128, seed: int = 11) -> Network | None:
-    """Multiple-instance training on a bounded sample; None without rows of both classes."""
+def train(texts, labels, rounds: int = 8, updates: int = 96, batch: int = 128, seed: int = 11) -> Network | None:
+    """Multiple-instance training; None without rows of both classes. texts: strings, or distinct words of chunks of texts.
+
+    Each round picks the windows to learn from by the network so far and takes `updates` batches of them, however many rows there are."""
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return None
-    words, grams, begin, inverse, first = distinct_words(*buffer(pa.array(texts, pa.string())))
+    if isinstance(texts[0], str):
+        texts = [_distinct(data, off) for _, _, data, off in chunks(pa.array(texts, pa.string()))]
+    words, grams, begin, inverse, first = joined_words(texts)
     owner, start, size = windows(first)
     net, r = Network(), np.random.default_rng(seed)
     adam = Adam(net.p, 0.01)
     group = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    # small samples are gone through more often
-    turns = max(epochs, min(60, -(-400 * batch // (int(y.sum()) + 3 * int((y == 0).sum())))))
-    for epoch in range(turns):
-        if epoch < max(1, turns // epochs):
-            score = r.random(len(owner))
-        else:
-            score = _score(net, net.inputs(words, grams, begin), start, size, inverse)
+    for turn in range(rounds):
+        score = _score(net, net.inputs(words, grams, begin), start, size, inverse) if turn else r.random(len(owner))
         order = np.lexsort((-score, owner))  # each document's windows, highest first
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order)) - np.repeat(group, np.diff(np.r_[group, len(owner)]))
-        positive = np.flatnonzero((y[owner] == 1) & (rank < (3 if epoch < max(1, turns // epochs) else 1)))
+        positive = np.flatnonzero((y[owner] == 1) & (rank < (1 if turn else 3)))
         hard = np.flatnonzero((y[owner] == 0) & (rank < 1))
         rest = np.flatnonzero((y[owner] == 0) & (rank >= 1))
         negative = np.concatenate([hard, r.choice(rest, min(len(rest), 2 * len(hard)), replace=False) if len(rest) else rest])
-        chosen = r.permutation(np.concatenate([positive, negative]))
+        chosen = np.concatenate([positive, negative])
         up = np.float32(max(1.0, len(negative) / max(1, len(positive)))) ** 0.5
-        adam.rate = 0.01 * 0.8 ** (epoch * epochs / turns)
-        for k in range(0, len(chosen), batch):
-            w = chosen[k : k + batch]
+        adam.rate = 0.01 * 0.8**turn
+        need = updates * batch
+        drawn = np.concatenate([r.permutation(chosen) for _ in range(-(-need // len(chosen)))])[:need]
+        for k in range(0, need, batch):
+            w = drawn[k : k + batch]
             ids, live = grid(start[w], size[w], inverse)
             used, local = np.unique(ids, return_inverse=True)
             count = np.diff(begin)[used]
@@ -231,13 +262,13 @@ def train(texts: list[str], labels: list[int], epochs: int = 8, batch: int = 128
 
 
 def _score(net, x, start, size, inverse, step: int = 2048) -> np.ndarray:
-    out = np.empty(len(start))
+    out, proj = np.empty(len(start)), net.projected(x)
     for k in range(0, len(start), step):
         ids, live = grid(start[k : k + step], size[k : k + step], inverse)
         if not len(x):
             out[k : k + step] = net.p["bias"]
         else:
-            out[k : k + step] = net.forward(x, ids, live)
+            out[k : k + step] = net.forward(proj, ids, live)
     return out
 
 
@@ -265,8 +296,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         few = own.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample if y else 3 * sample)
         pick = few if pick is None else pick.union(few)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(pick), "id").groupBy("id", "y").agg(F.min("text").alias("text")).orderBy("id").collect()
-    return train([r["text"] for r in rows], [r["y"] for r in rows])
+    rows = texts.join(F.broadcast(pick), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+
+    def learn(batches):
+        parts, y = [], []
+        for b in batches:
+            y += b.column(0).to_pylist()
+            parts += [_distinct(data, off) for _, _, data, off in chunks(b.column(1))]
+        net = train(parts, y)
+        if net is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
+
+    # one task of an executor learns, so that the driver holds neither texts nor the training's arrays
+    small_batches(docs)
+    got = rows.repartition(1).sortWithinPartitions("id").select("y", "text").mapInArrow(learn, "net binary").collect()
+    return pickle.loads(got[0]["net"]) if got else None
 
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -293,6 +293,15 @@ def test_toxicity_of_odd_rows(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == len(TEXTS)
 
 
+def test_toxicity_words_of_chunks_are_those_of_all_texts():
+    import pyarrow as pa
+
+    texts = [t or "" for _, t in TEXTS]
+    whole = toxicity.distinct_words(*toxicity.buffer(pa.array(texts)))
+    parts = toxicity.joined_words([toxicity._distinct(*toxicity.buffer(pa.array(texts[k : k + 5]))) for k in range(0, len(texts), 5)])
+    assert all((np.asarray(a) == np.asarray(b)).all() for a, b in zip(whole, parts))
+
+
 def test_gradients():
     texts = ["ab cd ef", "gh ab", "xx"]
     import pyarrow as pa
@@ -303,7 +312,7 @@ def test_gradients():
     net = toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     target, weight = np.array([1.0, 0, 1]), np.ones(3)
-    loss = lambda: float(np.mean(np.logaddexp(0, o := net.forward(net.inputs(words, grams, begin).astype(float), ids, live)) - target * o))
+    loss = lambda: float(np.mean(np.logaddexp(0, o := net.forward(net.projected(net.inputs(words, grams, begin).astype(float)), ids, live)) - target * o))
     g, _, _, _ = net.gradients(words, grams, begin, ids, live, target, weight)
     for name in ("uf", "wb", "a", "v", "o"):
         at = (0,) * net.p[name].ndim
