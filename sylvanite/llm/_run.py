@@ -30,10 +30,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder."""
-    shared_folder(df.sparkSession)
+    root, sc = shared_folder(df.sparkSession), df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(root)
     return df.checkpoint()
 
 
+def scanned(df: DataFrame) -> bool:
+    """Whether df is read straight from files, so that its rows stand in the same partitions and order whenever it is read."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "Scan" in plan and bool(df.inputFiles()) and not re.search("Exchange|Join|Aggregate|Arrow|Python|Pandas|Sample|Limit|Generate|Union|RDD", plan)
+
+
 def small_batches(df: DataFrame, rows: int = 1000) -> None:
     """Texts are long: bound what a Python worker holds at once."""
     conf = df.sparkSession.conf

@@ -6,11 +6,13 @@ quantised to q = 1 + floor(log_1.5 c) and the filter holds (bigram, 1) ... (bigr
 levels until one is missing and taken as the least count of its level, so that probabilities never sum to more than one
 but for false positives.
 
-Bigrams are dealt by hash into buckets; each bucket is summed and becomes a filter of its own with BITS_PER_ENTRY bits
-for each entry. Together they have at most MAX_BITS (128 MB), which bounds what is broadcast; beyond that, at 90 million
-entries, they only get less precise. Counts of the words of at least `rate` * N training tokens (at most 1 / rate words)
-are broadcast; others are of no bounded size: each shard (an input split) asks for its own distinct rare words by a join
-and meets them again beside its texts. Scores do not depend on `rate`.
+The filter grows with the corpus, so it is not broadcast whole: bigrams are dealt by hash into buckets, and a worker holds
+the filter of one bucket at a time, with BITS_PER_ENTRY bits for each entry at any size of the corpus. Texts are read in
+shards (runs of SHARD rows of an input split, or of a materialised partition where there are no files). A shard sends its
+distinct bigrams to their buckets, sorted, with its training counts; the bucket sums the counts of all shards, fills its
+filter, probes it for each shard's bigrams and answers with the counts read, in the order asked, a byte or two each.
+Exact counts of words take the same way. The shard then meets its answers beside its texts and knows its bigrams by
+reading them again, so that neither counts nor filter pass through the driver.
 
 Null text: empty, one end token. Null doc_id: its text form is empty in the crc rule. Repeated rows count and
 are scored each. Without training rows N = V = 0 and every token has log10(1).
@@ -23,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._run import cut, parallelism, small_batches, table
+from ._run import cut, parallelism, scanned, small_batches, table
 from ._text import BLANK, chunks, hashed, lowered, mix, spans
 
 MU, BASE = 200.0, 1.5
-BITS_PER_ENTRY, PROBES, BLOCK_BITS, MAX_BITS = 12, 4, 1 << 15, 1 << 30
-RATE = 2e-6
+BITS_PER_ENTRY, PROBES, BLOCK_BITS = 12, 4, 1 << 15
+SHARD = 4096
+WORD, GRAM = 0, 1
 END = np.uint64(0x1B873593CC9E2D51)
 ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -73,27 +76,6 @@ def _rows(key, other, names, step=1 << 18):
         yield pa.RecordBatch.from_arrays([pa.array(x[k : k + step].view(np.int64)) for x in (key, other)], names)
 
 
-def _word_counts(batches):
-    sums = Sums()
-    for b in batches:
-        for _, _, data, off in chunks(b.column(0)):
-            sums.add(*np.unique(tokens(data, off)[0], return_counts=True))
-    yield from _rows(*sums.take(), ["h", "n"])
-
-
-class Counts:
-    """The broadcast word counts."""
-
-    def __init__(self, h, c, n, v):
-        order = np.argsort(h)
-        self.h, self.c = h[order], c[order].astype(np.int64)
-        self.n, self.v = n, v
-
-    def find(self, h):
-        i = np.minimum(np.searchsorted(self.h, h), max(0, len(self.h) - 1))
-        return i, (self.h[i] == h) if len(self.h) else np.zeros(len(h), bool)
-
-
 def _pair(previous, word):
     with np.errstate(over="ignore"):
         return mix(previous * np.uint64(0x9E3779B97F4A7C15) + word)
@@ -111,183 +93,194 @@ def _bucket(g: np.ndarray, buckets: int) -> np.ndarray:
     return ((g >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def _bigram_counts(buckets: int):
-    """A row for each bucket of a partition's bigrams: its hashes and counts as bytes."""
-
-    def run(batches):
-        sums = Sums()
-        for b in batches:
-            for _, _, data, off in chunks(b.column(0)):
-                h, first = tokens(data, off)
-                if len(h):
-                    sums.add(*np.unique(_pair(_previous(h, first), h), return_counts=True))
-        g, n = sums.take()
-        own = _bucket(g, buckets)
-        at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(g) else own
-        for part in range(0, len(at), 64):
-            few = at[part : part + 65]
-            ends = np.append(few[1:], len(g))[:64]
-            pairs = list(zip(few[:64].tolist(), ends.tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array(own[few[:64]]), pa.array([g[i:j].tobytes() for i, j in pairs], pa.binary()), pa.array([n[i:j].tobytes() for i, j in pairs], pa.binary())], ["bucket", "g", "n"])
-
-    return run
-
-
 def level(c: np.ndarray) -> np.ndarray:
     """Quantised count: 1 + floor(log_BASE c)."""
     return 1 + np.floor(np.log(np.maximum(c, 1)) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
-def _bits(g: np.ndarray, j: int | np.ndarray, base: np.ndarray, blocks: int | np.ndarray):
+def _bits(g: np.ndarray, j: int, blocks: int):
     """Positions of an entry's probes: all in the block of its bigram, among the blocks of its bucket."""
     with np.errstate(over="ignore"):
         x = mix(g ^ (np.asarray(j, np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-    base = (base + (g & np.uint64(0xFFFFFFFF)).astype(np.int64) % blocks) * BLOCK_BITS
+    base = ((g & np.uint64(0xFFFFFFFF)).astype(np.int64) % blocks) * BLOCK_BITS
     return [base + ((x >> np.uint64(15 * k)) & np.uint64(BLOCK_BITS - 1)).astype(np.int64) for k in range(PROBES)]
 
 
-def _fill(most: int):
-    """Rows sorted by bucket in; a bitmap of at most `most` blocks for each bucket out."""
-
-    def run(batches):
-        key, sums = None, Sums()
-
-        def done():
-            g, n = sums.take()
-            q = level(n)
-            blocks = int(max(1, min(most, -(-int(q.sum()) * BITS_PER_ENTRY // BLOCK_BITS))))
-            bits = np.zeros(blocks * BLOCK_BITS, np.uint8)
-            for j in range(1, int(q.max()) + 1):
-                for p in _bits(g[q >= j], j, np.int64(0), blocks):
-                    bits[p] = 1
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
-
-        for b in batches:
-            for bucket, g, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                if bucket != key:
-                    if key is not None:
-                        yield done()
-                    key, sums = bucket, Sums()
-                sums.add(np.frombuffer(g.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int64))
-        if key is not None:
-            yield done()
-
-    return run
-
-
 class Filter:
-    """The log-frequency Bloom filter on a worker."""
+    """The log-frequency Bloom filter of a bucket."""
 
-    def __init__(self, rows, buckets: int):
-        rows = sorted(rows)
-        self.blocks = np.zeros(buckets, np.int64)
-        for k, x in rows:
-            self.blocks[k] = len(x) * 8 // BLOCK_BITS
-        self.begin = np.cumsum(self.blocks) - self.blocks
-        self.bytes = np.frombuffer(b"".join(x for _, x in rows), np.uint8)
+    def __init__(self, g: np.ndarray, c: np.ndarray):
+        q = level(c)
+        self.blocks = max(1, -(-int(q.sum()) * BITS_PER_ENTRY // BLOCK_BITS))
+        bits = np.zeros(self.blocks * BLOCK_BITS, np.uint8)
+        for j in range(1, int(q.max(initial=0)) + 1):
+            for p in _bits(g[q >= j], j, self.blocks):
+                bits[p] = 1
+        self.bytes = np.packbits(bits, bitorder="little")
 
     def counts(self, g: np.ndarray) -> np.ndarray:
         """The least count of the level that each bigram reaches; 0 for one that was not seen."""
-        own = _bucket(g, len(self.blocks))
-        base, blocks = self.begin[own], self.blocks[own]
-        reached, live, j = np.zeros(len(g), np.int64), np.flatnonzero(blocks > 0), 1
+        reached, live, j = np.zeros(len(g), np.int64), np.arange(len(g)), 1
         while len(live) and j < 128:
             there = np.ones(len(live), bool)
-            for p in _bits(g[live], j, base[live], blocks[live]):
+            for p in _bits(g[live], j, self.blocks):
                 there &= (self.bytes[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
             live = live[there]
             reached[live] = j
             j += 1
-        return np.where(reached > 0, np.ceil(BASE ** (reached - 1.0) - 1e-6), 0)
-
-
-def _score(model: Counts, bloom: Filter, h, first, rare_h, rare_c):
-    """Known tokens, base score and score of each text."""
-    i, frequent = model.find(h)
-    c = np.zeros(len(h), np.float64)
-    c[frequent] = model.c[i[frequent]]
-    if len(rare_h):
-        k = np.minimum(np.searchsorted(rare_h, h), len(rare_h) - 1)
-        found = ~frequent & (rare_h[k] == h)
-        c[found] = rare_c[k[found]]
-    own = (c + 1) / (model.n + model.v + 1)
-    base = np.log10(own)
-    context = np.empty(len(h))
-    context[1:] = c[:-1]
-    j, has_end = model.find(np.array([END]))
-    context[first[:-1]] = model.c[j[0]] if has_end[0] else 0
-    u, inverse = np.unique(_pair(_previous(h, first), h), return_inverse=True)
-    joint = np.minimum(bloom.counts(u)[inverse], context)
-    score = np.log10((joint + MU * own) / (context + MU))
-    add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: E731  each text has an end at least
-    return add((c > 0).astype(np.int64)), add(base), add(score)
+        return np.where(reached > 0, np.ceil(BASE ** (reached - 1.0) - 1e-6), 0).astype(np.int64)
 
 
-def held_out(column, folds: int = 7, fold: int = 2):
-    return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
+def _small(x: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest asks."""
+    most = int(x.max(initial=0))
+    return x.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8").tobytes()
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE, max_bits: int = MAX_BITS) -> DataFrame:
-    """Scores of all rows by a model of those that are not held out. Order 2."""
-    small_batches(docs)
-    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
-    # a shard: an input split, or without files a share of the rows
-    split = F.xxhash64(F.input_file_name(), F.input_file_block_start())
-    source = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held"), F.col(text_col).cast("string").alias("text"), F.when(F.input_file_name() == "", F.pmod(F.xxhash64(F.col(id_col)), F.lit(64))).otherwise(split).alias("shard"))
-    training = source.where(~F.col("held")).select("text")
-
-    words = cut(training.mapInArrow(_word_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")))
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    common = (F.col("c") >= max(2, int(np.ceil(n * rate)))) | (F.col("h") == F.lit(int(END.astype(np.int64))))
-    often = words.where(common).toPandas()  # at most 1 / rate rows
-    model = sc.broadcast(Counts(often["h"].to_numpy(np.int64).view(np.uint64), often["c"].to_numpy(np.int64), n, v))
-
-    most = max(1, max_bits // BLOCK_BITS)
-    buckets = min(4 * parallelism(docs), most)
-    grams = training.mapInArrow(_bigram_counts(buckets), "bucket long, g binary, n binary")
-    filled = grams.repartition(parallelism(docs), "bucket").sortWithinPartitions("bucket").mapInArrow(_fill(most // buckets), "bucket long, bits binary")
-    bloom = sc.broadcast(Filter([(r["bucket"], bytes(r["bits"])) for r in filled.collect()], buckets))  # at most max_bits
-
-    def distinct(batches):
-        shard, sums = None, Sums()
+def _large(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64)
+
+
+def _cut_at(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+
+
+ASKED = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+ANSWER = pa.schema([("shard", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
+
+
+def _ask(buckets: int):
+    """Of each shard and bucket: the shard's distinct words or bigrams there, in order, with their counts in training texts."""
+
+    def run(batches):
+        shard, sums = None, (Sums(), Sums())
+
+        def rows():
+            for kind, own in enumerate(sums):
+                key, n = own.take()
+                of = _bucket(key, buckets)
+                at = _cut_at(of)
+                ends = np.append(at[1:], len(key))
+                for k in range(0, len(at), 256):
+                    pairs = list(zip(at[k : k + 256].tolist(), ends[k : k + 256].tolist()))
+                    yield pa.RecordBatch.from_arrays([pa.array(of[at[k : k + 256]] + kind * buckets), pa.array(np.full(len(pairs), shard)), pa.array([key[i:j].tobytes() for i, j in pairs], pa.binary()), pa.array([_small(n[i:j]) for i, j in pairs], pa.binary())], schema=ASKED)
+
         for b in batches:
-            ids = np.asarray(b.column(1))
-            cuts = np.r_[0, np.flatnonzero(np.diff(ids)) + 1, len(ids)]
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                if i == j:
-                    continue
+            ids, train = np.asarray(b.column(1)), ~np.asarray(b.column(2).cast(pa.int8())).astype(bool)
+            for i, j in zip(c := _cut_at(ids), np.append(c[1:], len(ids))):
                 if shard is not None and ids[i] != shard:
-                    key, _ = sums.take()
-                    yield from _rows(key, np.full(len(key), shard), ["h", "shard"])
-                    sums = Sums()
+                    yield from rows()
+                    sums = (Sums(), Sums())
                 shard = int(ids[i])
-                for _, _, data, off in chunks(b.column(0).slice(i, j - i)):
-                    u = np.unique(tokens(data, off)[0])
-                    u = u[~model.value.find(u)[1]]
-                    sums.add(u, np.zeros(len(u), np.int64))
+                for x, y, data, off in chunks(b.column(0).slice(i, j - i)):
+                    h, first = tokens(data, off)
+                    weight = np.repeat(train[i + x : i + y], np.diff(first)).astype(np.float64)
+                    for own, key in zip(sums, (h, _pair(_previous(h, first), h))):
+                        u, inverse = np.unique(key, return_inverse=True)
+                        own.add(u, np.bincount(inverse, weight, len(u)).astype(np.int64))
         if shard is not None:
-            key, _ = sums.take()
-            yield from _rows(key, np.full(len(key), shard), ["h", "shard"])
+            yield from rows()
+
+    return run
+
+
+def _answer(buckets: int):
+    """Rows sorted by bucket in; to each of a bucket's shards, the counts of what it asked: of words exact, of bigrams as the filter has them. Each bucket of words also gives its tokens and distinct words, for no shard."""
+
+    def run(batches):
+        bucket, wait = None, []
+
+        def rows():
+            keys = [np.frombuffer(x[1].as_buffer(), np.uint64) for x in wait]
+            counts = [_large(x[2].as_py(), len(k)) for x, k in zip(wait, keys)]
+            key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(inverse, np.concatenate(counts).astype(np.float64), len(key)).astype(np.int64)
+            if bucket >= buckets:
+                seen = total > 0
+                value = Filter(key[seen], total[seen]).counts(key)
+            else:
+                value = total
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([bucket]), pa.array([b""], pa.binary()), pa.array([int(total.sum())]), pa.array([int((total > 0).sum())])], schema=ANSWER)
+            ends = np.cumsum([0] + [len(k) for k in keys])
+            for k in range(0, len(wait), 512):
+                some = wait[k : k + 512]
+                out = [_small(value[inverse[a:z]]) for a, z in zip(ends[k : k + 512], ends[k + 1 :])]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.array(np.full(len(some), bucket)), pa.array(out, pa.binary()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64())], schema=ANSWER)
+
+        for b in batches:
+            for own, shard, keys, counts in zip(b.column("bucket").to_pylist(), b.column("shard").to_pylist(), b.column("keys"), b.column("counts")):
+                if own != bucket:
+                    if bucket is not None:
+                        yield from rows()
+                    bucket, wait = own, []
+                wait.append((shard, keys, counts))
+        if bucket is not None:
+            yield from rows()
+
+    return run
+
+
+class Answers:
+    """The counts a shard has got back, by word or bigram."""
+
+    def __init__(self, keys: np.ndarray, rows: list[bytes], buckets: int):
+        self.keys = keys
+        size = np.diff(np.append(at := _cut_at(_bucket(keys, buckets)), len(keys)))
+        if len(at) != len(rows):
+            raise ValueError("a shard was read otherwise than before")
+        self.counts = np.concatenate([_large(x, n) for x, n in zip(rows, size.tolist())])
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return self.counts[np.searchsorted(self.keys, x)]
+
+
+def _distinct(parts) -> np.ndarray:
+    return np.unique(np.concatenate([np.unique(x) for x in parts]))
 
-    asked = source.select("text", "shard").mapInArrow(distinct, "h long, shard long")
-    rare = asked.join(words.where(~common), "h").select("shard", "h", "c")
+
+def held_out(column, folds: int = 7, fold: int = 2):
+    return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_rows: int = SHARD) -> DataFrame:
+    """Scores of all rows by a model of those that are not held out. Order 2."""
+    small_batches(docs)
+    own = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held"), F.col(text_col).cast("string").alias("text"))
+    place = F.struct(F.input_file_name(), F.input_file_block_start())
+    row = F.floor(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) / shard_rows)
+    if not scanned(docs):
+        own, place = cut(own), F.spark_partition_id()
+    source = own.withColumn("shard", F.xxhash64(place, row))
+
+    buckets = 4 * parallelism(docs)
+    asked = source.select("text", "shard", "held").mapInArrow(_ask(buckets), "bucket long, shard long, keys binary, counts binary")
+    dealt = asked.repartition(parallelism(docs), "bucket").sortWithinPartitions("bucket")
+    answers = cut(dealt.mapInArrow(_answer(buckets), "shard long, bucket long, counts binary, n long, v long"))
+    n, v = answers.where("shard is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
 
     def run(left, right):
-        m, f = model.value, bloom.value
-        h = right.column("h").to_numpy().view(np.uint64)
-        c = right.column("c").to_numpy()
-        order = np.argsort(h, kind="stable")
-        h, c = h[order], c[order]
+        right = right.sort_by("bucket")
+        kind, blobs = right.column("bucket").to_numpy() >= buckets, right.column("counts").to_pylist()
+        parts = [(b, i, j, *tokens(data, off)) for b in left.combine_chunks().to_batches() for i, j, data, off in chunks(b.column("text"))]
+        pairs = [_pair(_previous(h, first), h) for *_, h, first in parts]
+        words = Answers(_distinct([p[3] for p in parts]), blobs[: int((~kind).sum())], buckets)
+        grams = Answers(_distinct(pairs), blobs[int((~kind).sum()) :], buckets)
+        after = float(words.of(np.array([END]))[0])
         out = []
-        left = left.combine_chunks()
-        for b in left.to_batches():
-            for i, j, data, off in chunks(b.column("text")):
-                t, first = tokens(data, off)
-                known, base, value = _score(m, f, t, first, h, c)
-                out.append(pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), b.column("held").slice(i, j - i), pa.array(np.diff(first), pa.int64()), pa.array(known), pa.array(np.full(j - i, m.n), pa.int64()), pa.array(base), pa.array(value)], schema=ARROW))
+        for (b, i, j, h, first), g in zip(parts, pairs):
+            c = words.of(h).astype(np.float64)
+            p1 = (c + 1) / (n + v + 1)
+            context = np.empty(len(h))
+            context[1:] = c[:-1]
+            context[first[:-1]] = after  # a text follows an end
+            joint = np.minimum(grams.of(g), context)
+            add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: B023,E731  each text has an end at least
+            columns = pa.array(np.diff(first), pa.int64()), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(j - i, n), pa.int64()), pa.array(add(np.log10(p1))), pa.array(add(np.log10((joint + MU * p1) / (context + MU))))
+            out.append(pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), b.column("held").slice(i, j - i), *columns], schema=ARROW))
         return pa.Table.from_batches(out, ARROW)
 
-    return source.groupBy("shard").cogroup(rare.groupBy("shard")).applyInArrow(run, SCHEMA)
+    got = answers.where("shard is not null").select("shard", "bucket", "counts")
+    return source.groupBy("shard").cogroup(got.groupBy("shard")).applyInArrow(run, SCHEMA)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

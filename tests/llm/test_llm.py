@@ -153,17 +153,17 @@ def test_lm_score(docs, empty):
     c = collections.Counter(x for i, t in w if not fold(i) for x in t)
     n, v = sum(c.values()), len(c)
     want = sorted((str(i), str(fold(i)), len(t), sum(c[x] > 0 for x in t), n, sum(np.log10((c[x] + 1) / (n + v + 1)) for x in t)) for i, t in w)
-    got = sorted((str(r[0]), str(r[1]), *r[2:]) for r in lm_score.score(docs).collect())
+    got = sorted((str(r[0]), str(r[1]), *r[2:]) for r in lm_score.score(docs, shard_rows=7).collect())
     for g, e in zip(got, want, strict=True):
         assert g[:5] == e[:5] and abs(g[5] - e[5]) < 1e-6 * max(1, abs(e[5])) and g[6] <= 0
     assert lm_score.score(empty).count() == 0
 
 
-def test_lm_bigrams_of_rare_words(spark):
+def test_lm_bigrams_of_rare_words(spark, tmp_path):
     r = random.Random(3)
     line = lambda: " ".join(f"w{r.randrange(400)}" for _ in range(60))
     texts = [(i, f"rare{i % 40}x then{i % 40}x " + line()) for i in range(2000)]
-    got = lm_score.score(spark.createDataFrame(texts, "doc_id long, text string"), rate=2e-2).collect()
+    got = lm_score.score(spark.createDataFrame(texts, "doc_id long, text string"), shard_rows=300).collect()
     train = [t.split() + ["\0end"] for i, t in texts if zlib.crc32(str(i).encode()) % 7 != 2]
     c = collections.Counter(x for t in train for x in t)
     pairs = collections.Counter(p for t in train for p in zip(["\0end", *t], t))
@@ -175,6 +175,10 @@ def test_lm_bigrams_of_rare_words(spark):
         want[i] = sum(np.log10((q(pairs[a, b]) + lm_score.MU * (c[b] + 1) / (n + v + 1)) / (c[a] + lm_score.MU)) for a, b in zip(["\0end", *w], w))
     off = [abs(x.score - want[x.doc_id]) / abs(want[x.doc_id]) for x in got]
     assert np.median(off) < 1e-3 and max(off) < 0.02  # the filter has some false positives
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(path)
+    again = {x.doc_id: x.score for x in lm_score.score(spark.read.parquet(path), shard_rows=100).collect()}
+    assert all(abs(again[x.doc_id] - x.score) < 1e-9 for x in got)  # scores do not depend on the shards
 
 
 def test_packing(docs, empty):
