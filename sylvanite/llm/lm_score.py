@@ -77,8 +77,9 @@ def _rows(key, other, names, step=1 << 18):
 
 
 def _pair(previous, word):
+    """A bigram's hash. Its last 16 bits are 0, as 48 tell bigrams apart well enough for a filter that errs by itself."""
     with np.errstate(over="ignore"):
-        return mix(previous * np.uint64(0x9E3779B97F4A7C15) + word)
+        return mix(previous * np.uint64(0x9E3779B97F4A7C15) + word) & np.uint64(2**64 - 2**16)
 
 
 def _previous(h, first):
@@ -102,7 +103,7 @@ def _bits(g: np.ndarray, j: int, blocks: int):
     """Positions of an entry's probes: all in the block of its bigram, among the blocks of its bucket."""
     with np.errstate(over="ignore"):
         x = mix(g ^ (np.asarray(j, np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-    base = ((g & np.uint64(0xFFFFFFFF)).astype(np.int64) % blocks) * BLOCK_BITS
+    base = (((g >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.int64) % blocks) * BLOCK_BITS
     return [base + ((x >> np.uint64(15 * k)) & np.uint64(BLOCK_BITS - 1)).astype(np.int64) for k in range(PROBES)]
 
 
@@ -141,6 +142,15 @@ def _large(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64)
 
 
+def _planes(keys: np.ndarray) -> bytes:
+    """Sorted keys byte by byte, the highest of all first, so that what they share is squeezed out on the way."""
+    return keys.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _keys(raw) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(">u8").ravel().astype(np.uint64)
+
+
 def _cut_at(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
 
@@ -163,7 +173,7 @@ def _ask(buckets: int):
                 ends = np.append(at[1:], len(key))
                 for k in range(0, len(at), 256):
                     pairs = list(zip(at[k : k + 256].tolist(), ends[k : k + 256].tolist()))
-                    yield pa.RecordBatch.from_arrays([pa.array(of[at[k : k + 256]] + kind * buckets), pa.array(np.full(len(pairs), shard)), pa.array([key[i:j].tobytes() for i, j in pairs], pa.binary()), pa.array([_small(n[i:j]) for i, j in pairs], pa.binary())], schema=ASKED)
+                    yield pa.RecordBatch.from_arrays([pa.array(of[at[k : k + 256]] + kind * buckets), pa.array(np.full(len(pairs), shard)), pa.array([_planes(key[i:j]) for i, j in pairs], pa.binary()), pa.array([_small(n[i:j]) for i, j in pairs], pa.binary())], schema=ASKED)
 
         for b in batches:
             ids, train = np.asarray(b.column(1)), ~np.asarray(b.column(2).cast(pa.int8())).astype(bool)
@@ -191,7 +201,7 @@ def _answer(buckets: int):
         bucket, wait = None, []
 
         def rows():
-            keys = [np.frombuffer(x[1].as_buffer(), np.uint64) for x in wait]
+            keys = [_keys(x[1].as_buffer()) for x in wait]
             counts = [_large(x[2].as_py(), len(k)) for x, k in zip(wait, keys)]
             key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(inverse, np.concatenate(counts).astype(np.float64), len(key)).astype(np.int64)
@@ -223,8 +233,8 @@ def _answer(buckets: int):
 class Answers:
     """The counts a shard has got back, by word or bigram."""
 
-    def __init__(self, keys: np.ndarray, rows: list[bytes], buckets: int):
-        self.keys = keys
+    def __init__(self, parts: list[np.ndarray], rows: list[bytes], buckets: int):
+        self.keys = keys = np.unique(np.concatenate(parts))
         size = np.diff(np.append(at := _cut_at(_bucket(keys, buckets)), len(keys)))
         if len(at) != len(rows):
             raise ValueError("a shard was read otherwise than before")
@@ -234,10 +244,6 @@ class Answers:
         return self.counts[np.searchsorted(self.keys, x)]
 
 
-def _distinct(parts) -> np.ndarray:
-    return np.unique(np.concatenate([np.unique(x) for x in parts]))
-
-
 def held_out(column, folds: int = 7, fold: int = 2):
     return F.pmod(F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == fold
 
@@ -261,22 +267,26 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     def run(left, right):
         right = right.sort_by("bucket")
         kind, blobs = right.column("bucket").to_numpy() >= buckets, right.column("counts").to_pylist()
-        parts = [(b, i, j, *tokens(data, off)) for b in left.combine_chunks().to_batches() for i, j, data, off in chunks(b.column("text"))]
-        pairs = [_pair(_previous(h, first), h) for *_, h, first in parts]
-        words = Answers(_distinct([p[3] for p in parts]), blobs[: int((~kind).sum())], buckets)
-        grams = Answers(_distinct(pairs), blobs[int((~kind).sum()) :], buckets)
+        parts = []
+        for b in left.combine_chunks().to_batches():
+            for i, j, data, off in chunks(b.column("text")):
+                h, first = tokens(data, off)
+                parts.append((b.slice(i, j - i), first, np.unique(h, return_inverse=True), np.unique(_pair(_previous(h, first), h), return_inverse=True)))
+        words = Answers([p[2][0] for p in parts], blobs[: int((~kind).sum())], buckets)
+        grams = Answers([p[3][0] for p in parts], blobs[int((~kind).sum()) :], buckets)
         after = float(words.of(np.array([END]))[0])
         out = []
-        for (b, i, j, h, first), g in zip(parts, pairs):
-            c = words.of(h).astype(np.float64)
-            p1 = (c + 1) / (n + v + 1)
-            context = np.empty(len(h))
+        for b, first, (u, at), (g, to) in parts:
+            seen = words.of(u).astype(np.float64)
+            p1 = (seen + 1) / (n + v + 1)
+            log1, p1, c = np.log10(p1)[at], p1[at], seen[at]
+            context = np.empty(len(c))
             context[1:] = c[:-1]
             context[first[:-1]] = after  # a text follows an end
-            joint = np.minimum(grams.of(g), context)
+            joint = np.minimum(grams.of(g)[to], context)
             add = lambda x: np.add.reduceat(x, first[:-1])  # noqa: B023,E731  each text has an end at least
-            columns = pa.array(np.diff(first), pa.int64()), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(j - i, n), pa.int64()), pa.array(add(np.log10(p1))), pa.array(add(np.log10((joint + MU * p1) / (context + MU))))
-            out.append(pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), b.column("held").slice(i, j - i), *columns], schema=ARROW))
+            columns = pa.array(np.diff(first), pa.int64()), pa.array(add((c > 0).astype(np.int64))), pa.array(np.full(b.num_rows, n), pa.int64()), pa.array(add(log1)), pa.array(add(np.log10((joint + MU * p1) / (context + MU))))
+            out.append(pa.RecordBatch.from_arrays([b.column("id"), b.column("held"), *columns], schema=ARROW))
         return pa.Table.from_batches(out, ARROW)
 
     got = answers.where("shard is not null").select("shard", "bucket", "counts")
