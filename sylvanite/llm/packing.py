@@ -2,9 +2,10 @@
 
 Each scan partition is packed on its own, in one pass and without a shuffle. Documents are cut at
 whole windows; what is left of one goes to the fill level h that makes the sum of squared counts of
-partly filled windows least, where the counts stand in an array by level. When the partition ends,
-the windows still open are emptied and their pieces dealt again in a row, cut where a window ends,
-so that a partition leaves less than one window; that one is split at powers of two, which are not padded.
+partly filled windows least, where the counts stand in an array by level. When the partition ends (or
+MOST windows are open, which bounds memory), the emptiest of the windows still open give their tokens, cut
+where need be, to fill the gaps of the fullest, until one is left; the partition's last one is split at powers
+of two, which are not padded. All other tokens stay where the sum of squares has put them.
 
 Nulls: a null text is empty and holds its end id alone; a null doc_id is packed and stays null. Repeated
 rows are packed each. An empty table gives no rows. Texts of any length stream piece by piece.
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ._run import table, text_column
 
+MOST = 8192
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
@@ -69,10 +71,11 @@ def encoder(json_path: str | None = None, ranks_path: str | None = None) -> Enco
 
 
 class Packer:
-    """Sum-of-squares placement for one partition. `window`: tokens a sequence holds."""
+    """Sum-of-squares placement for one partition. `window`: tokens a sequence holds; `most`: open windows; placed, moved: tokens that the sum of squares has put in place, and those of them dealt again."""
 
-    def __init__(self, window: int, base: int):
-        self.window, self.next = window, base
+    def __init__(self, window: int, base: int, most: int = MOST):
+        self.window, self.next, self.most, self.live = window, base, most, 0
+        self.placed = self.moved = 0
         self.counts = np.zeros(window + 1, np.int64)
         self.open: list[list] = [[] for _ in range(window + 1)]
         self.out: list[tuple] = []
@@ -101,27 +104,50 @@ class Packer:
         pieces = self.open[best].pop() if best else []
         if best:
             c[best] -= 1
+            self.live -= 1
         pieces.append(piece)
-        level = best + size
-        if level == w:
+        self.placed += size
+        self._put(pieces, best + size)
+        if self.live > self.most:
+            left = self._level()
+            self.open, self.counts, self.live = [[] for _ in range(w + 1)], np.zeros(w + 1, np.int64), 0
+            self._put(left, sum(len(x[2]) for x in left))
+
+    def _put(self, pieces: list, level: int) -> None:
+        if level == self.window:
             self._emit(pieces)
-        else:
+        elif level:
             self.open[level].append(pieces)
-            c[level] += 1
+            self.counts[level] += 1
+            self.live += 1
+
+    def _level(self) -> list:
+        """Fill the fullest open windows from the emptiest; the pieces of the one that is left."""
+        rows = [pieces for level in range(self.window, 0, -1) for pieces in self.open[level]]
+        i, j = 0, len(rows) - 1
+        while i < j:
+            gap = self.window - sum(len(x[2]) for x in rows[i])
+            while gap and i < j:
+                if not rows[j]:
+                    j -= 1
+                    continue
+                doc, start, ids, total = rows[j].pop()
+                k = min(len(ids), gap)
+                # the end of the piece goes first, so that what stays is one piece
+                rows[i].append((doc, start + len(ids) - k, ids[len(ids) - k :], total))
+                if k < len(ids):
+                    rows[j].append((doc, start, ids[: len(ids) - k], total))
+                gap -= k
+                self.moved += k
+            if not gap:
+                self._emit(rows[i])
+                i += 1
+        return rows[i] if i < len(rows) else []
 
     def close(self) -> None:
-        """Deal what stands in open windows again, cutting freely."""
-        row, fill, w = [], 0, self.window
-        for level in range(w, 0, -1):
-            for pieces in self.open[level]:
-                for doc, start, ids, total in pieces:
-                    while len(ids):
-                        k = min(len(ids), w - fill)
-                        row.append((doc, start, ids[:k], total))
-                        start, ids, fill = start + k, ids[k:], fill + k
-                        if fill == w:
-                            self._emit(row)
-                            row, fill = [], 0
+        """Level what stands in open windows, cutting freely, and split the last one."""
+        row = self._level()
+        fill = sum(len(x[2]) for x in row)
         while fill:  # the binary digits of what is left
             size, part, got = 1 << (fill.bit_length() - 1), [], 0
             while got < size:
@@ -133,7 +159,7 @@ class Packer:
                     row.insert(0, (doc, start + k, ids[k:], total))
             self._emit(part)
             fill -= size
-        self.open, self.counts = [[] for _ in range(w + 1)], np.zeros(w + 1, np.int64)
+        self.open, self.counts, self.live = [[] for _ in range(self.window + 1)], np.zeros(self.window + 1, np.int64), 0
 
     def flush(self) -> pa.RecordBatch:
         columns = list(zip(*self.out)) or [[]] * 7

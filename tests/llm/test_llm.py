@@ -197,6 +197,25 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [packing.MOST, 12])
+def test_packer_keeps_most_tokens_in_place(most):
+    r = np.random.default_rng(4)
+    packer, sizes = packing.Packer(64, 0, most), r.integers(1, 200, 3000).tolist() + [40] * 500
+    for doc, n in enumerate(sizes):
+        packer.add(doc, np.arange(n, dtype=np.uint32))
+        assert packer.live <= most
+    packer.close()
+    got, covered = collections.defaultdict(int), collections.defaultdict(list)
+    for doc, start, length, crc, total, seq, at in packer.out:
+        assert at == got[seq] and total == sizes[doc] and crc == zlib.crc32(np.arange(start, start + length, dtype="<u4").tobytes())
+        got[seq] += length
+        covered[doc] += range(start, start + length)
+    assert all(sorted(covered[doc]) == list(range(n)) for doc, n in enumerate(sizes))
+    odd = [x for x in got.values() if x != 64]
+    assert sorted(got) == list(range(len(got))) and len(odd) == len(set(odd)) and all(x & (x - 1) == 0 for x in odd)
+    assert packer.placed == sum(n % 64 for n in sizes) and (most < 20 or packer.moved < 0.2 * packer.placed)
+
+
 def test_special_tokens_are_encoded_alike():
     enc = packing.encoder()
     for t in ("a<|endoftext|>b", "plain", "", "ñ  \n\n x"):
