@@ -1,18 +1,18 @@
 """op8: license scans by the Dice coefficient over word bigrams.
 
-Texts are normalised (A-Z lower-cased, words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+) and compared in units: every line,
-every maximal run of lines that share a bigram with some template, and (if there is such a line) the whole text. Dice is
-2 * |A & B| / (|A| + |B|) over sets of bigrams; a template can reach the threshold t only if its size lies in
-[a * t / (2 - t), a * (2 - t) / t] for a unit of a bigrams, and with at least t * (a + b) / 2 bigrams in common
-at most; others are not compared. A unit or template of one word has that word as its only gram.
-
-Where no unit around it reaches t for a template, the windows of the text's words whose number of bigrams lies in those
-bounds are compared too: notices inside longer lines, paragraphs and texts without line ends. Windows begin and end with
-a bigram of the template, as others score less; of windows that overlap the best is the match. Templates of one word are
-looked for in units only.
-
-Null or empty text: no units match. Templates are a parameter: {name: text}; equal templates all match.
-A null doc_id stays null; repeated rows give repeated rows.
+Texts are normalised (A-Z lower-cased, words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+; line ends are blanks like others) and
+compared with templates, full licence texts and short notices alike, in windows of their words: wherever a notice stands,
+in a line of its own, inside a paragraph or in a text without line ends, it is found. Dice is 2 * |A & B| / (|A| + |B|)
+over sets of bigrams. It can reach the threshold t for a template of b bigrams only with need = ceil(b * t / (2 - t)) of
+them, and windows are of need to b * (2 - t) / t bigrams. An index from bigrams to templates counts a text's distinct
+bigrams of each template, and templates with less than `need` are dropped before any window is looked at.
+
+Windows begin and end with a bigram of the template. Of those that begin at a place the one of the highest score counts
+(of equal ones the shortest); of these the best are taken, the highest score first (of equal ones the first), without
+overlap. A document's matches are all of these with a score of t or more, for each template on its own.
+
+Null, empty and one-word texts match nothing. Templates are a parameter, {name: text}, of two words at least; equal
+templates all match. A null doc_id stays null; repeated rows give repeated rows.
 """
 
 from __future__ import annotations
@@ -23,99 +23,83 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._run import small_batches, table
-from ._text import ALNUM, buffer, chunks, hashed, lowered, ngrams, spans
-from .line_dedup import line_spans
-
-#: Notices by which works name their licence.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
-    "MIT": "Released under the MIT License.",
-    "MIT-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "All-rights-reserved": "All rights reserved.",
-}
-
-SCHEMA = "doc_id long, n_units long, n_matches long, licenses array<string>, best_license string, best_score double, match_lines array<long>"
-ARROW = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_matches", pa.int64()), ("licenses", pa.list_(pa.string())), ("best_license", pa.string()), ("best_score", pa.float64()), ("match_lines", pa.list_(pa.int64()))])
-
-
-def grams(data: np.ndarray, off: np.ndarray):
-    """Bigram hashes of each text, and where each text's begin."""
-    low = lowered(data)
-    s, e, first = spans(low, off, ALNUM)
-    return ngrams(hashed(low, s, e), first, 2)
+from ._text import ALNUM, buffer, chunks, hashed, lowered, spans
+from .license_texts import NOTICES, TEXTS
+
+TEMPLATES = TEXTS | NOTICES
 
+SCHEMA = "doc_id long, n_words long, n_matches long, licenses array<string>, best_license string, best_score double, match_lines array<long>"
+ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_matches", pa.int64()), ("licenses", pa.list_(pa.string())), ("best_license", pa.string()), ("best_score", pa.float64()), ("match_lines", pa.list_(pa.int64()))])
 
-def place(data: np.ndarray, off: np.ndarray):
-    """Bigram hashes of each text, where each text's begin, and the byte where each bigram begins."""
+
+def bigrams(data: np.ndarray, off: np.ndarray):
+    """Hash of each bigram, where each text's begin, where each begins in the bytes, and words of each text."""
     low = lowered(data)
     s, e, first = spans(low, off, ALNUM)
-    g, begin = ngrams(hashed(low, s, e), first, 2)
-    return g, begin, s[np.arange(len(g)) + np.repeat(first[:-1] - begin[:-1], np.diff(begin))] if len(g) else s
+    h, n = hashed(low, s, e), np.diff(first)
+    count = np.maximum(n - 1, 0)
+    begin = np.concatenate([[0], np.cumsum(count)])
+    at = np.repeat(first[:-1] - begin[:-1], count) + np.arange(begin[-1])
+    with np.errstate(over="ignore"):
+        g = h[at] * np.uint64(0x9E3779B97F4A7C15) + (h[at + 1] ^ (h[at + 1] >> np.uint64(31)))
+    return g, begin, s[at], n
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str], threshold: float):
         self.names, self.t = sorted(templates), threshold
-        data, off = buffer(pa.array([templates[n] for n in self.names], pa.string()))
-        g, begin = grams(data, off)
-        self.sets = [frozenset(g[a:b].tolist()) for a, b in zip(begin[:-1], begin[1:])]
-        self.all = np.unique(g)
-        size = np.diff(spans(lowered(data), off, ALNUM)[2])
-        self.words = [np.unique(g[a:b]) if n > 1 else g[:0] for n, a, b in zip(size, begin[:-1], begin[1:])]
-
-    def windows(self, g: np.ndarray, begin: np.ndarray):
-        """(text, template, first and last bigram, score) of the best of overlapping windows at or over the threshold."""
-        if not len(self.all):
+        g, begin, _, n = bigrams(*buffer(pa.array([templates[x] for x in self.names], pa.string())))
+        if len(n) and n.min() < 2:
+            raise ValueError("a template has two words at least")
+        self.own = [np.unique(g[a:z]) for a, z in zip(begin[:-1], begin[1:])]
+        size = np.array([len(x) for x in self.own], np.int64)
+        self.need = np.maximum(1, np.ceil(size * threshold / (2 - threshold) - 1e-9)).astype(np.int64)
+        self.most = np.floor(size * (2 - threshold) / threshold + 1e-9).astype(np.int64)
+        # postings: the templates of each bigram
+        gram, of = np.concatenate([g[:0], *self.own]), np.repeat(np.arange(len(size)), size)
+        order = np.argsort(gram, kind="stable")
+        self.gram, at = np.unique(gram[order], return_index=True)
+        self.of, self.at = of[order], np.append(at, len(gram))
+
+    def candidates(self, g: np.ndarray, begin: np.ndarray):
+        """(text, template) pairs with enough distinct bigrams in common."""
+        if not len(self.gram) or not len(g):
             return
-        hits = np.flatnonzero(self.all[np.minimum(np.searchsorted(self.all, g), len(self.all) - 1)] == g)
-        text = np.searchsorted(begin, hits, "right") - 1
-        for k, own in enumerate(self.sets):
-            b, t = len(own), self.t
-            if not len(self.words[k]):
-                continue
-            held = np.isin(g[hits], self.words[k])
-            at, of = hits[held], text[held]
-            need, most = max(1, int(np.ceil(t * b / (2 - t) - 1e-9))), int(b * (2 - t) / t + 1e-9)
-            if len(at) < need:
-                continue
-            last = len(at) - need + 1
-            start = np.flatnonzero((at[need - 1 :] - at[:last] < most) & (of[need - 1 :] == of[:last]))
-            best = None
-            for i in start.tolist():
-                for j in range(i + need - 1, int(np.searchsorted(at, at[i] + most))):
-                    if of[j] != of[i]:
-                        break
-                    unit = set(g[at[i] : at[j] + 1].tolist())
-                    d = 2 * len(unit & own) / (len(unit) + b)
-                    if d >= t:
-                        new = (int(of[i]), k, int(at[i]), int(at[j]), d)
-                        if best is not None and (best[0] != new[0] or best[3] < new[2]):
-                            yield best
-                            best = None
-                        if best is None or d > best[4]:
-                            best = new
-            if best is not None:
-                yield best
-
-    def dice(self, unit: set) -> list[tuple[int, float]]:
-        """(template, score) at or over the threshold."""
-        a, t, out = len(unit), self.t, []
-        for k, s in enumerate(self.sets):
-            if a and s and t * (a + len(s)) <= 2 * min(a, len(s)):
-                d = 2 * len(unit & s) / (a + len(s))
-                if d >= t:
-                    out.append((k, d))
-        return out
+        k = np.minimum(np.searchsorted(self.gram, g), len(self.gram) - 1)
+        hit = np.flatnonzero(self.gram[k] == g)
+        text = np.searchsorted(begin, hit, "right") - 1
+        seen = np.unique(text * len(self.gram) + k[hit])  # distinct bigrams of each text
+        text, gram = np.divmod(seen, len(self.gram))
+        count = np.diff(self.at)[gram]
+        posting = np.repeat(self.at[gram] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        pair, n = np.unique(np.repeat(text, count) * len(self.names) + self.of[posting], return_counts=True)
+        for p in pair[n >= self.need[pair % len(self.names)]].tolist():
+            yield divmod(p, len(self.names))
+
+    def matches(self, g: np.ndarray, before: np.ndarray, k: int):
+        """(score, first bigram, end) of the matches of template k in a text. before: the place of each bigram's equal before it, or -1."""
+        own, need, most = self.own[k], int(self.need[k]), int(self.most[k])
+        inside = own[np.minimum(np.searchsorted(own, g), len(own) - 1)] == g
+        at, found = np.flatnonzero(inside), []
+        ahead = np.searchsorted(at, at + most) - np.arange(len(at))
+        for s in at[ahead >= need].tolist():
+            e = min(len(g), s + most)
+            new, held = before[s:e] < s, inside[s:e]
+            both = np.cumsum(new & held)
+            d = np.where(held, 2 * both / (np.cumsum(new) + len(own)), 0)
+            d[: need - 1] = 0
+            best = int(np.argmax(d))
+            if d[best] >= self.t:
+                found.append((-float(d[best]), s, s + best + 1))
+        taken = []
+        for d, s, e in sorted(found):
+            if all(e <= a or z <= s for _, a, z in taken):
+                taken.append((-d, s, e))
+        return taken
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
+    """(doc_id, n_words, n_matches, licenses, best_license, best_score, match_lines: lines where matches begin) for every row."""
     small_batches(docs)
     templates = TEMPLATES if templates is None else templates
 
@@ -123,54 +107,32 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
         scanner = Scanner(templates, threshold)
         for b in batches:
             for i, j, data, off in chunks(b.column(1)):
-                starts, ends, first = line_spans(data, off)
-                # lines as texts of their own: cut after each line end
-                bounds = np.append(starts, len(data))
-                g, begin = grams(data, bounds)
-                k = np.minimum(np.searchsorted(scanner.all, g), max(0, len(scanner.all) - 1))
-                hit = scanner.all[k] == g if len(scanner.all) and len(g) else np.zeros(len(g), bool)
-                total = np.concatenate([[0], np.cumsum(hit)])
-                warm = total[begin[1:]] > total[begin[:-1]]
-                rows = [[0, {}, set()] for _ in range(j - i)]
-                owner = np.searchsorted(first, np.flatnonzero(warm), "right") - 1
-                matched: dict[tuple[int, int], list[tuple[int, int]]] = {}
-                by_doc: dict[int, list[int]] = {}
-                for d, line in zip(owner.tolist(), np.flatnonzero(warm).tolist()):
-                    by_doc.setdefault(d, []).append(line)
-                for d, lines in by_doc.items():
-                    units = [(x, x + 1) for x in lines]
-                    for run_of in np.split(np.array(lines), np.flatnonzero(np.diff(lines) > 1) + 1):
-                        if len(run_of) > 1:
-                            units.append((int(run_of[0]), int(run_of[-1]) + 1))
-                    if first[d + 1] - first[d] > 1 and (first[d], first[d + 1]) not in units:
-                        units.append((int(first[d]), int(first[d + 1])))
-                    for a, z in units:
-                        if z - a == 1:
-                            unit = set(g[begin[a] : begin[z]].tolist())
-                        elif threshold * len(np.unique(g[begin[a] : begin[z]])) > 2 * (total[begin[z]] - total[begin[a]] + z - a - 1):
-                            continue  # too few grams of any template for so many grams
-                        else:
-                            span = data[bounds[a] : bounds[z]]
-                            unit = set(grams(span, np.array([0, len(span)]))[0].tolist())
-                        for t, score in scanner.dice(unit):
-                            rows[d][0] += 1
-                            rows[d][1][t] = max(score, rows[d][1].get(t, 0))
-                            rows[d][2].add(a - int(first[d]))
-                            matched.setdefault((d, t), []).append((int(bounds[a]), int(bounds[z])))
-                g, begin, byte = place(data, off)
-                for d, t, x, y, score in scanner.windows(g, begin):
-                    if not any(a <= byte[y] and byte[x] < z for a, z in matched.get((d, t), ())):
-                        rows[d][0] += 1
-                        rows[d][1][t] = max(score, rows[d][1].get(t, 0))
-                        rows[d][2].add(int(np.searchsorted(starts, byte[x], "right")) - 1 - int(first[d]))
+                g, begin, byte, words = bigrams(data, off)
+                ends, rows, known = np.flatnonzero(data == 10), [[] for _ in range(j - i)], (None, None)
+                for d, k in scanner.candidates(g, begin):
+                    own = g[begin[d] : begin[d + 1]]
+                    if known[0] != d:
+                        order, before = np.argsort(own, kind="stable"), np.full(len(own), -1)
+                        same = own[order][1:] == own[order][:-1]
+                        before[order[1:][same]] = order[:-1][same]
+                        known = d, before
+                    for score, s, _ in scanner.matches(own, known[1], k):
+                        line = np.searchsorted(ends, byte[begin[d] + s]) - np.searchsorted(ends, off[d])
+                        rows[d].append((-score, scanner.names[k], int(line)))
                 out = []
-                for d, (n, best, where) in enumerate(rows):
-                    top = min(((-s, t) for t, s in best.items()), default=None)
-                    out.append((int(first[d + 1] - first[d]), n, sorted(scanner.names[t] for t in best), top and scanner.names[top[1]], -top[0] if top else 0.0, sorted(where)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *(pa.array(list(c), t) for c, t in zip(zip(*out), ARROW.types[1:]))], schema=ARROW)
+                for found in rows:
+                    top = min(found, default=(-0.0, None))
+                    out.append((len(found), sorted({x[1] for x in found}), top[1], -top[0], sorted({x[2] for x in found})))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(words, pa.int64()), *(pa.array(list(c), t) for c, t in zip(zip(*out), ARROW.types[2:]))], schema=ARROW)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def read_templates(spark: SparkSession, path: str) -> dict[str, str]:
+    """Templates from a folder of text files, named as the files are: for licences beside those of license_texts."""
+    rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+?)(\\.txt)?$", 1).alias("name"), "value")
+    return {r["name"]: r["value"] for r in rows.collect()}
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))

@@ -231,30 +231,61 @@ def test_token_counts(docs, empty, rule):
     assert token_counts.section_tokens(empty).count() == 0
 
 
-def test_licenses(spark, empty):
-    texts = [(1, None), (2, ""), (3, "x\nReleased under the MIT License.\ny"), (4, "released under THE mit license"), (5, "nothing"), (6, licenses.TEMPLATES["GPL-header"].replace(" of the", "\nof the")), (6, "All rights\nreserved.")]
-    got = {(r.doc_id, tuple(r.licenses)) for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert {(1, ()), (2, ()), (3, ("MIT",)), (4, ("MIT",)), (5, ()), (6, ("GPL-header",))} <= got
-    assert licenses.scan(empty).count() == 0
-
-    def dice(a, b):
-        g = lambda t: {tuple(w[k : k + 2]) for w in [ALNUM.findall(t.translate(AZ))] for k in range(max(1, len(w) - 1))}
-        x, y = g(a), g(b)
-        return 2 * len(x & y) / (len(x) + len(y))
-
-    line = "Licensed under the Apache License, Version 2.0 of old."
-    got = licenses.scan(spark.createDataFrame([(1, line)], "doc_id long, text string"), threshold=0.6).first()
-    assert abs(got.best_score - max(dice(line, t) for t in licenses.TEMPLATES.values())) < 1e-12
-
-
-def test_licenses_inside_longer_texts(spark):
-    words = " ".join(f"word{k}" for k in range(60))
-    texts = {
-        1: ("Copyright 2020 Example Corp. All rights reserved.", "All-rights-reserved", [0]), 2: ("Copyright (c) 2024 Jane Doe. Released under the MIT License.", "MIT", [0]),
-        3: (f"{words}\n{words} {licenses.TEMPLATES['BSD']}: {words} {words}", "BSD", [1]), 4: (f"{words} of the\n{words} All\nrights\nreserved. {words}", "All-rights-reserved", [1]), 5: (f"{words} rights of the license", None, []),
-    }
-    got = licenses.scan(spark.createDataFrame([(i, x[0]) for i, x in texts.items()], "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.best_license, r.match_lines, r.best_score) for r in got} == {i: (x[1], x[2], 1.0 if x[1] else 0.0) for i, x in texts.items()}
+def plain_licenses(text, templates, t=0.8):
+    """All windows of all sizes, by sets."""
+    words = ALNUM.findall((text or "").translate(AZ))
+    lines = [k for k, x in enumerate((text or "").split("\n")) for _ in ALNUM.findall(x.translate(AZ))]
+    grams, out = list(zip(words, words[1:])), []
+    for name, template in templates.items():
+        w = ALNUM.findall(template.translate(AZ))
+        own = set(zip(w, w[1:]))
+        found = []
+        for s in range(len(grams)):
+            best = None
+            for e in range(s + 1, min(len(grams), s + int(len(own) * (2 - t) / t + 1e-9)) + 1):
+                unit = set(grams[s:e])
+                d = 2 * len(unit & own) / (len(unit) + len(own))
+                if d >= t and grams[s] in own and grams[e - 1] in own and (best is None or d > best[0]):
+                    best = (d, s, e)
+            if best:
+                found.append(best)
+        taken = []
+        for d, s, e in sorted(found, key=lambda x: (-x[0], x[1])):
+            if all(e <= a or z <= s for _, a, z in taken):
+                taken.append((d, s, e))
+        out += [(-d, name, lines[s]) for d, s, _ in taken]
+    top = min(out, default=(-0.0, None))
+    return len(words), len(out), sorted({x[1] for x in out}), top[1], -top[0], sorted({x[2] for x in out})
+
+
+def test_licenses(spark, docs, empty):
+    r = random.Random(8)
+    mit, bsd = licenses.TEXTS["MIT"], licenses.TEXTS["BSD-3-Clause"]
+    own = {"a": "All rights reserved.", "b": "b c d e f g h i j", "c": "x y x y x y z", "mit": " ".join(mit.split()[:30]), "a2": "ALL rights, reserved"}
+    texts = [(1, None), (2, ""), (3, "x\nAll rights\nreserved. y"), (None, "word"), (3, "all rights reserved all rights reserved")]
+    for i in range(150):
+        w = [r.choice("a b c d e f g h i j x y z All rights reserved".split()) for _ in range(r.randrange(30))]
+        at = r.randrange(len(w) + 1)
+        piece = r.choice(list(own.values())).split()
+        if r.random() < 0.5:
+            piece.pop(r.randrange(len(piece)))
+        texts.append((10 + i, "".join(x + r.choice([" ", "\n", "  "]) for x in w[:at] + piece + w[at:])))
+    df = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, n_words int").repartition(3)
+    got = sorted(map(str, map(tuple, licenses.scan(df, templates=own).collect())))
+    assert got == sorted(str((i, *plain_licenses(t, own))) for i, t in texts)
+    assert licenses.scan(empty).count() == 0 and licenses.scan(docs).count() == len(TEXTS)
+    # full texts, with a name, other line ends, and inside a long paragraph
+    filler = " ".join(f"word{k}" for k in range(300))
+    full = {1: ("Copyright (c) 2024 Jane Doe\n\n" + mit, "MIT"), 2: (filler + " " + " ".join(mit.split()) + " " + filler, "MIT"), 3: (bsd.replace("copyright holder", "Example Corp"), "BSD-3-Clause"), 4: (licenses.TEXTS["Apache-2.0"] + filler, "Apache-2.0"), 5: (filler + " Released under the MIT License. " + filler, "MIT-notice"), 6: (filler + mit[:300], None)}
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in full.items()], "doc_id long, text string")).collect()
+    assert {x.doc_id: x.best_license for x in got} == {i: name for i, (_, name) in full.items()}
+    with pytest.raises(ValueError):
+        licenses.Scanner({"x": "one"}, 0.8)
+
+
+def test_license_templates_from_files(spark, tmp_path):
+    (tmp_path / "mine.txt").write_text("some words\nof mine")
+    assert licenses.read_templates(spark, str(tmp_path)) == {"mine": "some words\nof mine"}
 
 
 def test_nearest_neighbours(spark):
