@@ -90,14 +90,37 @@ def test_decontamination(spark, docs, empty):
                 if x := windows.get(tuple(w[a : a + k])):
                     own |= x
                     hit |= set(range(a, a + k))
-        want.append((str(i), str(len(w)), str(len(hit)), str(sorted(own))))
-    for block in (1 << 20, 100):
-        assert rows(decontam.search(docs, bench, block=block), "doc_id", "n_words", "n_hit", "items") == sorted(want)
+        longest = []
+        for item in sorted(own):
+            best = (0, 0)
+            for own_id, x in items:
+                v = ALNUM.findall((x or "").translate(AZ)) if own_id == item else []
+                for a, c in itertools.product(range(len(w)), range(len(v))):
+                    if w[a] == v[c] and (a == 0 or c == 0 or w[a - 1] != v[c - 1]):
+                        k = next((k for k in range(min(len(w) - a, len(v) - c)) if w[a + k] != v[c + k]), min(len(w) - a, len(v) - c))
+                        best = max(best, (k, -a))
+            longest.append(best)
+        want.append((str(i), str(len(w)), str(len(hit)), str(sorted(own)), str([x[0] for x in longest]), str([-x[1] for x in longest])))
+    for block, most in ((1 << 20, 8), (100, 8), (100, 2)):
+        assert rows(decontam.search(docs, bench, block=block, most=most), "doc_id", "n_words", "n_hit", "items", "longest", "longest_at") == sorted(want)
+    assert sorted(r.doc_id or 0 for r in decontam.decontaminate(docs, bench, block=100, most=2).collect()) == sorted(int(x[0]) if x[0] != "None" else 0 for x in want if x[2] == "0")
     clean = decontam.decontaminate(docs, bench)
     assert clean.columns == docs.columns and clean.count() == sum(x[2] == "0" for x in want)
     assert decontam.search(empty, bench).count() == 0 and decontam.search(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_of_one_word_over_and_over(spark):
+    bench = spark.createDataFrame([(1, "la " * 3000), (2, "la " * 20 + "di da")], "item_id long, text string")
+    got = decontam.search(spark.createDataFrame([(1, "la " * 9000 + "di")], "doc_id long, text string"), bench).first()
+    assert (got.n_words, got.n_hit, got["items"], got.longest, got.longest_at) == (9001, 9001, [1, 2], [3000, 21], [0, 8980])
+    r = np.random.default_rng(2)
+    for _ in range(50):
+        a, b = r.integers(-1, 3, 30), r.integers(0, 3, 12)
+        runs = [(k, -p) for p in range(30) for o in range(12) for k in range(1, 13) if p + k <= 30 and o + k <= 12 and (a[p : p + k] == b[o : o + k]).all()]
+        n, p = max(runs, default=(0, 0))
+        assert decontam.common_run(a, b) == (n, -p if n else 0)
+
+
 def test_jaccard(docs, empty):
     sets = []
     for i, t in TEXTS:
