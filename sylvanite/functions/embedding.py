@@ -8,14 +8,10 @@ from __future__ import annotations
 from collections import defaultdict
 from math import perm
 
-from .kernels import _labelled, adjacency, bicomponents, component_ids, contains, renumbered, spanning_trees, wilson
+from .kernels import _labelled, adjacency, bicomponents, component_ids, contains, renumbered, same, spanning_trees, wilson
 from .structure import listed_trees, split_components
 
 
-def same(a, b) -> bool:
-    return a is None or b is None or a == b
-
-
 def matching(options: list[list[int]]) -> list[int] | None:
     """A choice of different items, one for each list, or None: augmenting paths."""
     owner: dict[int, int] = {}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from fractions import Fraction
+from functools import cached_property
 from itertools import combinations
+from math import prod
 
 
 def adjacency(n: int, edges) -> list[list[int]]:
@@ -146,68 +148,124 @@ def is_outerplanar(n: int, edges) -> bool:
     return True
 
 
-def simple_cycles(n: int, edges):
-    """Simple cycles, each once, from its least vertex in its lesser direction."""
+def simple_cycles(n: int, edges, length: int | None = None):
+    """Simple cycles (of the given length), each once, from its least vertex in its lesser direction."""
     near = adjacency(n, edges)
     for start in range(n):
         stack = [(start, (start,))]
         while stack:
             v, path = stack.pop()
             for w in near[v]:
-                if w == start and len(path) > 2 and path[1] < path[-1]:
+                if w == start and len(path) > 2 and path[1] < path[-1] and length in (None, len(path)):
                     yield path
-                elif w > start and w not in path:
+                elif w > start and w not in path and (length is None or len(path) < length):
                     stack.append((w, (*path, w)))
 
 
-def measures(n: int, edges) -> dict[str, int]:
-    comp = component_ids(n, edges)
-    parts = bicomponents(n, edges)
-    blocks, bridges = [p for p in parts if len(p) > 1], [p for p in parts if len(p) == 1]
-    degree = [0] * n
-    for s, d in edges:
-        degree[s] += 1
-        degree[d] += 1
-    block_degree, easy = [0] * n, [1] * n
-    trees = 1
-    for p in blocks:
-        t = spanning_trees(*renumbered(p))
-        trees *= t
-        for v in {x for e in p for x in e}:
-            block_degree[v] += 1
-            easy[v] *= t
-    k = len(set(comp))
-    per = defaultdict(int)
-    for p in blocks:
-        per[comp[p[0][0]]] += 1
-    forest = len(set(component_ids(n, [p[0] for p in bridges])))
-    connected = k <= 1
-    return {
-        "connected": int(connected),
-        "tree": int(connected and len(edges) == n - 1),
-        "path": int(len(edges) == n - 1 and max(degree, default=0) <= 2),
-        "cactus": int(n <= 1 or (connected and len(edges) - len(blocks) == n - 1)),
-        "outerplanar": int(is_outerplanar(n, edges)),
-        "components": k,
-        "bicomponents": len(parts),
-        "blocks": len(blocks),
-        "max_blocks": max(per.values(), default=0),
-        "bridges": len(bridges),
-        "bridge_trees": forest,
-        "max_degree": max(degree, default=-1),
-        "min_degree": min(degree, default=-1),
-        "max_block_degree": max(block_degree, default=-1),
-        "min_block_degree": min(block_degree, default=-1),
-        "max_easiness": max(easy, default=-1),
-        "min_easiness": min(easy, default=-1),
-        "spanning_trees": trees,
-        "simple_cycles": sum(1 for _ in simple_cycles(n, edges)),
-    }
-
-
-def _tokens(near, labels, v, up):
-    kids = sorted([label, *_tokens(near, labels, w, v)] for w, label in near[v] if w != up)
-    return [labels[v], *(t for k in kids for t in ("(", *k, ")"))]
+class Shape:
+    """What the measures of one graph share, worked out when a measure asks for it."""
+
+    def __init__(self, n: int, edges):
+        self.n, self.edges = n, edges
+
+    @cached_property
+    def component(self):
+        return component_ids(self.n, self.edges)
+
+    @cached_property
+    def parts(self):
+        return bicomponents(self.n, self.edges)
+
+    @cached_property
+    def blocks(self):
+        return [p for p in self.parts if len(p) > 1]
+
+    @cached_property
+    def bridges(self):
+        return [p[0] for p in self.parts if len(p) == 1]
+
+    @cached_property
+    def degree(self):
+        out = [0] * self.n
+        for e in self.edges:
+            for v in e:
+                out[v] += 1
+        return out
+
+    @cached_property
+    def block_degree(self):
+        out = [0] * self.n
+        for p in self.blocks:
+            for v in {x for e in p for x in e}:
+                out[v] += 1
+        return out
+
+    @cached_property
+    def block_trees(self):
+        return [spanning_trees(*renumbered(p)) for p in self.blocks]
+
+    @cached_property
+    def easiness(self):
+        out = [1] * self.n
+        for p, t in zip(self.blocks, self.block_trees):
+            for v in {x for e in p for x in e}:
+                out[v] *= t
+        return out
+
+    @cached_property
+    def connected(self):
+        return len(set(self.component)) <= 1
+
+    def most_blocks(self):
+        per = Counter(self.component[p[0][0]] for p in self.blocks)
+        return max(per.values(), default=0)
+
+
+#: name: its value from a Shape
+MEASURES = {
+    "connected": lambda g: int(g.connected),
+    "tree": lambda g: int(len(g.edges) == g.n - 1 and g.connected),
+    "path": lambda g: int(len(g.edges) == g.n - 1 and max(g.degree, default=0) <= 2),
+    "cactus": lambda g: int(g.n <= 1 or (g.connected and len(g.edges) - len(g.blocks) == g.n - 1)),
+    "outerplanar": lambda g: int(is_outerplanar(g.n, g.edges)),
+    "components": lambda g: len(set(g.component)),
+    "bicomponents": lambda g: len(g.parts),
+    "blocks": lambda g: len(g.blocks),
+    "max_blocks": lambda g: g.most_blocks(),
+    "bridges": lambda g: len(g.bridges),
+    "bridge_trees": lambda g: len(set(component_ids(g.n, g.bridges))),
+    "max_degree": lambda g: max(g.degree, default=-1),
+    "min_degree": lambda g: min(g.degree, default=-1),
+    "max_block_degree": lambda g: max(g.block_degree, default=-1),
+    "min_block_degree": lambda g: min(g.block_degree, default=-1),
+    "max_easiness": lambda g: max(g.easiness, default=-1),
+    "min_easiness": lambda g: min(g.easiness, default=-1),
+    "spanning_trees": lambda g: prod(g.block_trees),
+    "simple_cycles": lambda g: sum(1 for _ in simple_cycles(g.n, g.edges)),
+}
+
+
+def measures(n: int, edges, names=tuple(MEASURES)) -> dict[str, int]:
+    """The named measures; none of the others is worked out."""
+    shape = Shape(n, edges)
+    return {x: MEASURES[x](shape) for x in names}
+
+
+def same(a, b) -> bool:
+    """Labels match; a null one matches all."""
+    return a is None or b is None or a == b
+
+
+def _tokens(near, labels, root, up):
+    """Tokens of a rooted tree, leaves first, so that deep trees need no deep stack."""
+    order = [(root, up)]
+    for v, u in order:
+        order += [(w, v) for w, _ in near[v] if w != u]
+    made: dict[int, list[str]] = {}
+    for v, u in reversed(order):
+        kids = sorted([label, *made.pop(w)] for w, label in near[v] if w != u)
+        made[v] = [labels[v], *(t for k in kids for t in ("(", *k, ")"))]
+    return made[root]
 
 
 def _labelled(n, edges):
@@ -271,7 +329,7 @@ def parse_string(cstring: str) -> tuple[list[str], list[tuple[int, int, str]]]:
 
 
 def contains(labels, edges, pattern_labels, pattern_edges) -> bool:
-    """An injective map of a connected pattern that keeps vertex labels and labelled edges (not induced); backtracking along a search order."""
+    """An injective map of a connected pattern that keeps vertex labels and labelled edges (not induced), null labels matching all; backtracking along a search order."""
     if not pattern_labels:
         return True
     near, pnear = _labelled(len(labels), edges), _labelled(len(pattern_labels), pattern_edges)
@@ -288,9 +346,9 @@ def contains(labels, edges, pattern_labels, pattern_edges) -> bool:
         if k == len(order):
             return True
         v, up, x = order[k]
-        options = range(len(labels)) if up < 0 else [w for w, y in near[image[up]] if y == x]
+        options = range(len(labels)) if up < 0 else [w for w, y in near[image[up]] if same(x, y)]
         for w in options:
-            if labels[w] == pattern_labels[v] and w not in image.values() and all(link.get((w, image[u])) == y for u, y in pnear[v] if u in image):
+            if same(labels[w], pattern_labels[v]) and w not in image.values() and all((w, image[u]) in link and same(link[w, image[u]], y) for u, y in pnear[v] if u in image):
                 image[v] = w
                 if place(k + 1):
                     return True

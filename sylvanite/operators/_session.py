@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the cluster's shared folder; a temporary one only where the session names none."""
+    """Checkpoint in the cluster's shared folder. Where none is named, a temporary one in local mode, as in tests; a cluster must name one."""
     sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().isDefined()):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if root is None and not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 

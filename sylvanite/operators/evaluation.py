@@ -77,11 +77,17 @@ def subset(rows: DataFrame, n: int, key: str = "graph_id", label: str | None = "
 
 
 def vectors(rows: DataFrame, size: int) -> DataFrame:
-    """(graph_id, label, features) with sparse vectors, for the machine-learning library."""
-    from pyspark.ml.functions import array_to_vector
+    """(graph_id, label, features) with sparse vectors, for the machine-learning library; of an index that repeats the first value counts."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
 
-    ordered = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.get(F.transform(F.filter("features", lambda x: x["index"] == k), lambda x: x["value"]), F.lit(0)), F.lit(0.0)))
-    return rows.select("graph_id", "label", array_to_vector(ordered).alias("features"))
+    @F.udf(VectorUDT())
+    def sparse(pairs):
+        known = {}
+        for p in pairs or ():
+            known.setdefault(p["index"], p["value"])
+        return Vectors.sparse(size, {k: v for k, v in known.items() if 0 <= k < size})
+
+    return rows.select("graph_id", "label", sparse("features").alias("features"))
 
 
 def train(data: DataFrame, costs=(0.01, 0.1, 1.0, 10.0), folds: int = 3, seed: int = 0):

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import embedding, kernels, structure
-from ..sources.graphs import arcs, explode_edges, explode_vertices, graph_text
+from ..sources.graphs import arcs, explode_edges, explode_vertices, text_column
 from ._session import numbered
 
-NAMES = ("connected", "tree", "path", "cactus", "outerplanar", "components", "bicomponents", "blocks", "max_blocks", "bridges", "bridge_trees", "max_degree", "min_degree", "max_block_degree", "min_block_degree", "max_easiness", "min_easiness", "spanning_trees", "simple_cycles")
+NAMES = tuple(kernels.MEASURES)
 COMPARE = {"<=": "__le__", "==": "__eq__", ">=": "__ge__", "!=": "__ne__", "<": "__lt__", ">": "__gt__"}
 
 
@@ -21,17 +21,23 @@ def _pairs(edges) -> list[tuple[int, int]]:
     return [(e["src"], e["dst"]) for e in edges]
 
 
-def measure(graphs: DataFrame) -> DataFrame:
-    """All structural measures of each graph, one Arrow-batched pass."""
+def bounded(v: int) -> int:
+    if v > structure.MAX_LONG:
+        raise OverflowError("a measure exceeds 63 bits")
+    return v
+
+
+def measure(graphs: DataFrame, names: tuple[str, ...] = NAMES) -> DataFrame:
+    """The named structural measures of each graph, one Arrow-batched pass; only these are worked out. Values over 63 bits raise."""
 
     def run(batches):
         for b in batches:
-            rows = [{k: min(v, structure.MAX_LONG) for k, v in kernels.measures(n, _pairs(e)).items()} for n, e in zip(b["n"], b["edges"])]
-            out = pd.DataFrame(rows, columns=NAMES)
+            rows = [{k: bounded(v) for k, v in kernels.measures(n, _pairs(e), names).items()} for n, e in zip(b["n"], b["edges"])]
+            out = pd.DataFrame(rows, columns=names, dtype="int64")
             out.insert(0, "graph_id", b["graph_id"].to_numpy())
             yield out
 
-    return graphs.select("graph_id", "n", "edges").mapInPandas(run, "graph_id long, " + ", ".join(f"{x} long" for x in NAMES))
+    return graphs.select("graph_id", "n", "edges").mapInPandas(run, "graph_id long, " + ", ".join(f"{x} long" for x in names))
 
 
 def condition(column, comparator: str, value):
@@ -104,10 +110,10 @@ def value(graphs: DataFrame, name: str, argument: int = 1000, seed: int = 0) ->
         if name in EXTRA:
             out = EXTRA[name](list(labels), e, argument, random.Random(f"{seed}/{g}"))
         else:
-            out = kernels.measures(len(labels), _pairs(edges))[SHAPE[name]]
+            out = kernels.measures(len(labels), _pairs(edges), (SHAPE[name],))[SHAPE[name]]
             if name in ("maxLocalEasiness", "minLocalEasiness") and out > argument:
                 out = -1
-        return min(out, structure.MAX_LONG)
+        return bounded(out)
 
     @F.pandas_udf("long")
     def run(ids: pd.Series, labels: pd.Series, edges: pd.Series) -> pd.Series:
@@ -120,12 +126,14 @@ def filter_graphs(graphs: DataFrame, name: str, comparator: str = "pass", thresh
     """The graphs whose measure compares so; output: graph, idAndValue, id, value or print (text of the graph and value)."""
     kept = value(graphs, name, argument, seed).where(condition(F.col("value"), comparator, threshold))
     if output == "print":
-        return graph_text(kept).withColumnRenamed("value", "text").join(kept.select("graph_id", "value"), "graph_id")
+        return kept.select("graph_id", text_column().alias("text"), "value")
     return kept.drop("value") if output == "graph" else kept.select(*{"idAndValue": ("graph_id", "value"), "id": ("graph_id",), "value": ("value",)}[output])
 
 
 def degrees(graphs: DataFrame) -> DataFrame:
-    return arcs(graphs).groupBy("graph_id", F.col("src").alias("vid")).agg(F.count("*").alias("degree"))
+    """(graph_id, vid, degree) of every vertex, those without edges too."""
+    ends = arcs(graphs).select("graph_id", F.col("src").alias("vid"), F.lit(1).alias("d"))
+    return ends.union(explode_vertices(graphs).select("graph_id", "vid", F.lit(0))).groupBy("graph_id", "vid").agg(F.sum("d").alias("degree"))
 
 
 def vertex_support(graphs: DataFrame) -> DataFrame:
@@ -232,6 +240,29 @@ def distinct_trees(samples: DataFrame, keep_count: bool = False) -> DataFrame:
     return out.select("graph_id", "pattern_id", "cstring", *(["support"] if keep_count else []))
 
 
+def cycles_of_length(graphs: DataFrame, length: int) -> DataFrame:
+    """(graph_id, cycle): the simple cycles of a length, as vertices from the least one in the lesser direction."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(g, list(c)) for g, n, e in zip(b["graph_id"], b["n"], b["edges"]) for c in kernels.simple_cycles(n, _pairs(e), length)]
+            yield pd.DataFrame(rows, columns=["graph_id", "cycle"])
+
+    return graphs.select("graph_id", "n", "edges").mapInPandas(run, "graph_id long, cycle array<int>")
+
+
+def neighbourhood_graphs(graphs: DataFrame, with_centre: bool = True) -> DataFrame:
+    """The subgraph induced by each vertex's neighbours (and itself) as a graph row, with its `centre`; vertices keep their order."""
+    near = lambda v: F.transform(F.filter("edges", lambda e: (e["src"] == v) | (e["dst"] == v)), lambda e: F.when(e["src"] == v, e["dst"]).otherwise(e["src"]))
+    own = graphs.select("graph_id", "activity", "vlabels", "edges", F.posexplode("vlabels").alias("centre", "_label"))
+    own = own.withColumn("_in", F.array_sort(F.concat(near(F.col("centre")), F.array("centre") if with_centre else F.array().cast("array<int>"))))
+    place = lambda v: (F.array_position("_in", v) - 1).cast("int")
+    inside = F.filter("edges", lambda e: F.array_contains("_in", e["src"]) & F.array_contains("_in", e["dst"]))
+    edges = F.transform(inside, lambda e: F.struct(place(e["src"]).alias("src"), place(e["dst"]).alias("dst"), e["label"].alias("label")))
+    out = own.select("graph_id", "centre", "activity", F.transform("_in", lambda v: F.get("vlabels", v)).alias("vlabels"), edges.alias("edges"))
+    return out.withColumns({"n": F.size("vlabels"), "m": F.size("edges")}).select("graph_id", "centre", "activity", "n", "m", "vlabels", "edges")
+
+
 def components(graphs: DataFrame) -> DataFrame:
     """(graph_id, vid, component): the least vertex of each vertex's connected component."""
 

@@ -240,21 +240,25 @@ def frequent_subtrees(graphs: DataFrame, threshold: int, max_size: int) -> DataF
     return mine(graphs, threshold, max_size)[0].select("size", "cstring", "support")
 
 
-def support(graphs: DataFrame, patterns: list[str], name: str = "subtree", i: float = 1, seed: int = 0) -> DataFrame:
-    """(cstring, graph_id, found) for each pattern that a graph holds by the named operator."""
+def _held(graphs: DataFrame, patterns: list[str], name: str, i: float, seed: int) -> DataFrame:
+    """(pattern, graph_id, found): numbers of the patterns that each graph holds."""
     op, none = operator(name), F.array().cast("array<int>")
     if op.prepare:
         graphs = spanning_forests(graphs, None if op.prepare == "all" else max(1, int(i)), seed)
     state = graphs.select("graph_id", "activity", "n", "m", "vlabels", "edges", none.alias("held"), none.alias("found"))
-    names = F.lit(list(patterns)) if patterns else F.array().cast("array<string>")
     hit = _pass(state, [(k, p, ()) for k, p in enumerate(patterns)], op, i, 1, seed).select("graph_id", F.explode(F.arrays_zip("held", "found")).alias("x"))
-    return hit.select(F.get(names, F.col("x.held")).alias("cstring"), "graph_id", F.col("x.found").alias("found"))
+    return hit.select(F.col("x.held").alias("pattern"), "graph_id", F.col("x.found").alias("found"))
+
+
+def support(graphs: DataFrame, patterns: list[str], name: str = "subtree", i: float = 1, seed: int = 0) -> DataFrame:
+    """(cstring, graph_id, found) for each pattern that a graph holds by the named operator."""
+    names = graphs.sparkSession.createDataFrame(list(enumerate(patterns)), "pattern int, cstring string")
+    return _held(graphs, patterns, name, i, seed).join(F.broadcast(names), "pattern").select("cstring", "graph_id", "found")
 
 
 def features(graphs: DataFrame, patterns: list[str], name: str = "subtree", i: float = 1, seed: int = 0) -> DataFrame:
     """(graph_id, activity, features): the sorted numbers of the patterns each graph contains."""
-    at = F.create_map(*(x for k, p in enumerate(patterns) for x in (F.lit(p), F.lit(k))))
-    held = support(graphs, patterns, name, i, seed).groupBy("graph_id").agg(F.sort_array(F.collect_list(at[F.col("cstring")])).alias("features"))
+    held = _held(graphs, patterns, name, i, seed).groupBy("graph_id").agg(F.sort_array(F.collect_list("pattern")).alias("features"))
     return graphs.select("graph_id", "activity").join(held, "graph_id", "left").withColumn("features", F.coalesce("features", F.array().cast("array<int>")))
 
 

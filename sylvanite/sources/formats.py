@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators._session import numbered
+
 #: The element symbols behind the numbers of the molecule collection, from 1.
 ELEMENTS = "H C O CU N S P CL ZN B BR CO MN AS AL NI SE SI V SN I F LI SB FE PD HG BI NA CA TI ZR HO GE PT RU RH CR GA K AG AU TB IR TE MG PB W CS MO RE CD OS PR ND SM GD YB ER U TL NB AC"
 
@@ -31,8 +33,9 @@ def read_simple(spark: SparkSession, path: str, directed: bool = False) -> DataF
 
     v = F.transform(F.array_sort(F.transform(F.slice("t", F.lit(2), F.col("n")), vertex)), lambda x: x["label"])
     e = F.transform(F.slice("t", F.col("n") + 2, F.col("m")), edge)
-    files = F.row_number().over(Window.orderBy("file"))  # one row for each file, not for each line
-    return rows.select(files.cast("long").alias("graph_id"), F.lit(0).cast("long").alias("activity"), "n", "m", v.alias("vlabels"), e.alias("edges"))
+    # ranks are made of the names alone; graphs stay where they were read
+    ranks = numbered(rows.select("file"), "file", "rank").select("file", (F.col("rank") + 1).alias("graph_id"))
+    return rows.join(ranks, "file").select("graph_id", F.lit(0).cast("long").alias("activity"), "n", "m", v.alias("vlabels"), e.alias("edges"))
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:

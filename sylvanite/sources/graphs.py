@@ -75,11 +75,21 @@ def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(part[1].try_cast("int").alias("pattern_id"), part[0].try_cast("long").alias("support"), part[2].alias("cstring")).where("pattern_id is not null and support is not null")
 
 
-def graph_text(graphs: DataFrame) -> DataFrame:
-    """The three lines of each graph as one string `value`."""
+def text_column() -> Column:
+    """The three lines of a graph as one string."""
     edge = F.transform("edges", lambda e: F.concat_ws(" ", e["src"] + 1, e["dst"] + 1, e["label"]))
     head = F.concat_ws(" ", F.lit("#"), "graph_id", "activity", "n", "m")
-    return graphs.select("graph_id", F.concat_ws("\n", head, F.concat_ws(" ", "vlabels"), F.concat_ws(" ", edge)).alias("value"))
+    return F.concat_ws("\n", head, F.concat_ws(" ", "vlabels"), F.concat_ws(" ", edge))
+
+
+def graph_text(graphs: DataFrame) -> DataFrame:
+    """The three lines of each graph as one string `value`."""
+    return graphs.select("graph_id", text_column().alias("value"))
+
+
+def from_text(texts: DataFrame, directed: bool = False) -> DataFrame:
+    """The inverse of graph_text(): graphs of the texts in column `value`, one each."""
+    return parse_graphs(texts.select(F.split(F.regexp_replace("value", "^#", ""), "\n").alias("lines")), directed)
 
 
 def write_graphs(graphs: DataFrame, path: str) -> None:

@@ -44,6 +44,25 @@ def test_null_labels_match_all():
     assert em.subtree_in_forest(["a", "b"], [(0, 1, "x")], [None, "b"], [(0, 1, None)])
 
 
+def test_null_labels_match_all_in_graphs_with_cycles():
+    triangle = ["a", "b", "c"], [(0, 1, "x"), (0, 2, "x"), (1, 2, None)]
+    assert k.contains(*triangle, ["a", None], [(0, 1, "x")]) and k.contains(*triangle, ["b", "c"], [(0, 1, "y")])
+    assert not k.contains(*triangle, ["a", "b"], [(0, 1, "y")]) and not k.contains(["a", "b", "c"], [(0, 1, None)], ["a", "c"], [(0, 1, None)])
+
+
+def test_strings_of_deep_trees():
+    n = 2500
+    name = k.free_string(["a"] * n, [(v, v + 1, "1") for v in range(n - 1)])
+    assert name.count("a") == n and k.parse_string(name)[1][0] == (0, 1, "1")
+
+
+def test_cycles_of_a_length():
+    edges = [(a, b) for a in range(6) for b in range(a + 1, 6)]
+    every = list(k.simple_cycles(6, edges))
+    for n in range(2, 8):
+        assert sorted(k.simple_cycles(6, edges, n)) == sorted(c for c in every if len(c) == n)
+
+
 def test_local_trees_against_all_spanning_trees():
     r = random.Random(2)
     for _ in range(150):
