@@ -33,8 +33,21 @@ CONV_E = """
   SELECT graph_id, vid - 1 AS src, vid AS dst, '1' AS label FROM (
     SELECT CAST(conv_id AS BIGINT) AS graph_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS BIGINT) AS vid FROM conversations) AS c WHERE vid > 0"""
 
-VIEWS = {"order": (ORDER_V, ORDER_E), "user": (USER_V, USER_E), "conv": (CONV_V, CONV_E)}
-TABLES = {"order": ("orders", "lineitem"), "user": ("events",), "conv": ("conversations",)}
+#: a user's events are one session as long as none comes 12 hours after the one before
+_SESSIONS = """
+  SELECT CAST(user_id * 10000 + sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS graph_id, event_type, ts, event_id
+  FROM (SELECT user_id, event_type, ts, event_id, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL '12' HOUR >= ts THEN 0 ELSE 1 END AS new FROM events) AS f"""
+SESSION_V = f"""
+  SELECT graph_id, CAST(row_number() OVER (PARTITION BY graph_id ORDER BY event_type) - 1 AS BIGINT) AS vid, event_type AS label FROM (SELECT DISTINCT graph_id, event_type FROM ({_SESSIONS}) AS s) AS t"""
+SESSION_E = f"""
+  SELECT DISTINCT v.graph_id, v.vid AS src, w.vid AS dst, '1' AS label
+  FROM (SELECT graph_id, event_type AS a, lead(event_type) OVER (PARTITION BY graph_id ORDER BY ts, event_id) AS b FROM ({_SESSIONS}) AS s) AS p
+  JOIN ({SESSION_V}) AS v ON v.graph_id = p.graph_id AND v.label = least(p.a, p.b)
+  JOIN ({SESSION_V}) AS w ON w.graph_id = p.graph_id AND w.label = greatest(p.a, p.b)
+  WHERE p.b IS NOT NULL AND p.a <> p.b"""
+
+VIEWS = {"session": (SESSION_V, SESSION_E), "order": (ORDER_V, ORDER_E), "user": (USER_V, USER_E), "conv": (CONV_V, CONV_E)}
+TABLES = {"session": ("events",), "order": ("orders", "lineitem"), "user": ("events",), "conv": ("conversations",)}
 
 
 def vertices(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import measures, mining
 from ..sources import graphs as io
-from . import patterns
+from . import patterns, sessions
 from .bridge import graphs, with_views
 
 SMALL = "/root/testdata/sf0.001"
@@ -39,7 +39,7 @@ def _mined(s, d):
 
 
 def _user_measures(*names):
-    return lambda s, d: measures.measure(graphs(s, d, "user")).select("graph_id", *names)
+    return lambda s, d: measures.measure(graphs(s, d, "user"), names)
 
 
 def _reach(name):
@@ -80,10 +80,10 @@ QUERIES = {
     "sizes_user": (_sizes("user"), with_views("user", _SIZES)),
     "sizes_conv": (_sizes("conv"), with_views("conv", _SIZES)),
     "filter_vertices": (lambda s, d: measures.filter_graphs(graphs(s, d, "order"), "numberOfVertices", ">=", 6).select("graph_id"), with_views("order", "SELECT graph_id FROM v GROUP BY graph_id HAVING count(*) >= 6")),
-    "degrees_user": (lambda s, d: measures.degrees(graphs(s, d, "user")), with_views("user", _DEGREE + " SELECT graph_id, CAST(vid AS INTEGER) AS vid, degree FROM d WHERE degree > 0")),
+    "degrees_user": (lambda s, d: measures.degrees(graphs(s, d, "user")), with_views("user", _DEGREE + " SELECT graph_id, CAST(vid AS INTEGER) AS vid, degree FROM d")),
     "extreme_degrees_user": (_user_measures("max_degree", "min_degree"), with_views("user", _DEGREE + " SELECT graph_id, CAST(max(degree) AS BIGINT) AS max_degree, CAST(min(degree) AS BIGINT) AS min_degree FROM d GROUP BY graph_id")),
     "components_user": (_user_measures("components", "connected", "tree"), _reach("user")),
-    "components_conv": (lambda s, d: measures.measure(graphs(s, d, "conv")).select("graph_id", "components", "connected", "tree"), _reach("conv")),
+    "components_conv": (lambda s, d: measures.measure(graphs(s, d, "conv"), ("components", "connected", "tree")), _reach("conv")),
     "simple_cycles_user": (_user_measures("simple_cycles"), with_views("user", _CYCLES)),
     "block_measures_user": (_user_measures("cactus", "outerplanar", "bicomponents", "blocks", "max_blocks", "bridges", "bridge_trees", "max_block_degree", "min_block_degree", "max_easiness", "min_easiness", "spanning_trees"), None),
     "vertex_support_order": (lambda s, d: measures.vertex_support(graphs(s, d, "order")), with_views("order", "SELECT label, count(DISTINCT graph_id) AS support FROM v GROUP BY label")),
@@ -111,9 +111,13 @@ QUERIES = {
 }
 
 
+EVERY = QUERIES | patterns.QUERIES | sessions.QUERIES | sessions.with_paths(patterns._FREE)
+EVERY |= {k: (EVERY[k][0], sql) for k, sql in sessions.USER_SQL.items()}
+
+
 def queries() -> dict:
-    return {k: q for k, (q, _) in (QUERIES | patterns.QUERIES).items()}
+    return {k: q for k, (q, _) in EVERY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in (QUERIES | patterns.QUERIES).items() if sql}
+    return {k: sql for k, (_, sql) in EVERY.items() if sql}

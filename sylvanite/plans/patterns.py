@@ -139,7 +139,7 @@ QUERIES = {
     "common_neighbours_user": (lambda s, d: measures.common_neighbours(graphs(s, d, "user")).select("graph_id", F.col("v").cast("long").alias("v"), F.col("w").cast("long").alias("w"), "shared"), with_views("user", """, arc AS (SELECT graph_id, src AS a, dst AS b FROM e UNION ALL SELECT graph_id, dst, src FROM e)
       SELECT x.graph_id, x.b AS v, y.b AS w, count(*) AS shared FROM arc AS x JOIN arc AS y ON x.graph_id = y.graph_id AND x.a = y.a AND x.b < y.b GROUP BY 1, 2, 3""")),
     "numberOfBridges_user": (_value("numberOfBridges"), with_views("user", _EDGE_CUT)),
-    "spanningTreeListing_user": (lambda s, d: _value("spanningTreeListing", 1000)(s, d).join(measures.filter_graphs(graphs(s, d, "user"), "connected", "==", 1, output="id"), "graph_id", "left_semi"), with_views("user", _TREES.replace("LEFT JOIN grow", "JOIN grow"))),
+    "spanningTreeListing_user": (_value("spanningTreeListing", 1000), with_views("user", _TREES.replace("grow.taken = s.n - 1", "grow.taken = (SELECT max(taken) FROM grow AS g WHERE g.graph_id = s.graph_id)"))),
     "numberOfSimpleCycles_user": (_value("numberOfSimpleCycles"), None),
     "numberOfNonIsoCycles_user": (_value("numberOfNonIsoCycles"), None),
     "count_user": (_value("count"), with_views("user", "SELECT graph_id, row_number() OVER (ORDER BY graph_id) - 1 AS value FROM (SELECT DISTINCT graph_id FROM v) AS g")),
