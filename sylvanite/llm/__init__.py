@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+# imported here, so that where one of them (or what it needs) is missing the whole subpackage is, and nothing else
+from . import ann, decontam, jaccard, licenses, line_dedup, lm_score, oracles, packing, repeats, token_counts, toxicity
 
-def queries() -> dict:
-    from . import ann, decontam, jaccard, licenses, line_dedup, lm_score, packing, repeats, token_counts, toxicity
 
+def queries() -> dict:
     return {
         f.__name__: f
         for f in (
@@ -24,6 +25,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import line_dedup
-
-    return {"op2_line_dedup": line_dedup.OP2_SQL}
+    return {"op1_decontamination": oracles.OP1_SQL, "op2_line_dedup": line_dedup.OP2_SQL, "op3_ngram_jaccard": oracles.OP3_SQL, "op10_repeats": oracles.OP10_SQL}

@@ -293,4 +293,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     names = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.concat_ws(",", F.transform("longest", lambda x: x.cast("string"))).alias("longest"))

@@ -17,9 +17,12 @@ import base64
 import zlib
 
 import numpy as np
+import public_tokenizers as P
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from ._run import table, text_column
 
@@ -32,8 +35,6 @@ class Encoder:
     """Ids of a byte-level BPE. The ranks file holds the JSON's vocabulary; texts with the name of a special token go through the JSON's own encoder."""
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
-        import tiktoken
-
         lines = [x.split() for x in open(ranks_path, "rb") if x.strip()]
         ranks = {base64.b64decode(a): int(b) for a, b in lines}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -46,8 +47,6 @@ class Encoder:
 
     def slow(self):
         if self._slow is None:
-            from tokenizers import Tokenizer
-
             self._slow = Tokenizer.from_file(self.json_path)
         return self._slow
 
@@ -62,8 +61,6 @@ _ENCODERS: dict[tuple, Encoder] = {}
 
 def encoder(json_path: str | None = None, ranks_path: str | None = None) -> Encoder:
     """One for each Python worker; the vocabulary files are installed on every node."""
-    import public_tokenizers as P
-
     key = (json_path or P.path("byte_bpe_50k.json"), ranks_path or P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(*key)
