@@ -1,4 +1,10 @@
-"""A training corpus from documents: toxicity, line dedup, near duplicates, decontamination, packing."""
+"""A training corpus from documents: toxicity, line dedup, near duplicates, decontamination, packing.
+
+A null or empty text is kept as an empty document until near duplicates, where it is linked with nothing, and is packed
+as its end id alone. Of rows equal in doc_id and text one stays. Without labels of both classes nothing is toxic, without
+benchmark items nothing is contaminated, and an empty table gives no rows. Columns beside doc_id and text go through the
+stages as they are.
+"""
 
 from __future__ import annotations
 

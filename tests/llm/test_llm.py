@@ -401,16 +401,146 @@ def test_gradients():
         assert abs((up - down) / 2e-3 - g[name][at]) < 1e-3
 
 
-def test_pipeline(spark, tmp_path):
+def plain_lines(rows):
+    """Line dedup of (doc_id, text) rows."""
+    norm = lambda x: x.strip(" \t\n\v\f\r").translate(AZ)
+    found = collections.defaultdict(set)
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            if len(norm(x)) >= 20:
+                found[norm(x)].add(i)
+    gone = {x: max(i) for x, i in found.items() if len(i) >= 3}
+    return [(i, "\n".join(x for x in (t or "").split("\n") if norm(x) not in gone or i == gone[norm(x)])) for i, t in rows]
+
+
+def plain_near_copies(rows):
+    """The least doc_id of each group linked by 5-word shingles, from a Jaccard similarity of 0.8 on."""
+    w = [BLANK.findall((t or "").translate(AZ)) for _, t in rows]
+    sets = [{tuple(x[a : a + 5]) for a in range(max(1, len(x) - 4))} if x else set() for x in w]
+    root = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        small, large = sorted((len(sets[a]), len(sets[b])))
+        if small and 5 * small >= 4 * large and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            p, q = root[a], root[b]
+            root = [min(p, q) if z in (p, q) else z for z in root]
+    least = {}
+    for k, z in enumerate(root):
+        least[z] = min(least.get(z, rows[k][0]), rows[k][0])
+    return [x for x in rows if x[0] in set(least.values())]
+
+
+def plain_clean(rows, items):
+    words = lambda t: ALNUM.findall((t or "").translate(AZ))
+    windows = {tuple(w[a : a + min(10, len(w))]) for w in map(words, items) for a in range(max(1, len(w) - 9)) if w}
+    sizes = {len(x) for x in windows}
+    return [(i, t) for i, t in rows if not any(tuple(w[a : a + k]) in windows for w in [words(t)] for k in sizes for a in range(len(w) - k + 1))]
+
+
+def pieces_of(packed):
+    out = collections.defaultdict(dict)
+    for r in packed.collect():
+        out[r.doc_id][r.start] = (r.length, r.ids_crc32, r.doc_tokens)
+    return out
+
+
+def check_packed(packed, rows):
+    enc = packing.encoder().slow()
+    got = pieces_of(packed)
+    assert set(got) == {i for i, _ in rows}
+    for i, t in rows:
+        ids = np.append(np.array(enc.encode(t or "", add_special_tokens=False).ids, "<u4"), 0).astype("<u4")
+        at = 0
+        for start, (length, crc, total) in sorted(got[i].items()):
+            assert start == at and total == len(ids) and crc == zlib.crc32(ids[start : start + length].tobytes())
+            at += length
+        assert at == len(ids)
+
+
+def test_pipeline_against_plain_stages(spark):
     import corpus_pipeline as c
 
     base = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{base}/documents.parquet")
-    kept, n = docs, docs.count()
-    for name, stage in c.STAGES[:-1]:
+    net = toxicity.fit(docs, spark.read.parquet(f"{base}/labels.parquet"))
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    import pyarrow as pa
+
+    rows = [x for x in rows if toxicity.score_texts(net, *toxicity.buffer(pa.array([x[1] or ""])))[0] < 0.5]
+    rows = plain_near_copies(plain_lines(rows))
+    rows = plain_clean(rows, [r.text for r in spark.read.parquet(f"{base}/benchmark.parquet").collect()])
+    kept = docs
+    for _, stage in c.STAGES[1:-1]:
         kept = stage(spark, kept, base)
         assert kept.columns == docs.columns
-    ids = {r.doc_id for r in kept.select("doc_id").collect()}
-    assert 0 < len(ids) <= n
     packed = c.run(spark, base)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == ids
+    assert len({x[0] for x in rows}) == len(rows) > 50
+    check_packed(packed, rows)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline as c
+
+    texts = [(i, t) for i, t in TEXTS if i not in (5, None)] + [(70, TEXTS[-2][1]), (71, TEXTS[-2][1])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("full", texts), ("none", [])):
+        base = tmp_path / name
+        spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], schema).write.parquet(str(base / "documents.parquet"))
+        spark.createDataFrame([(i, 1, None) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(str(base / "labels.parquet"))
+        spark.createDataFrame([(1, TEXTS[8][1]), (2, None), (None, "de")] if rows else [], "item_id long, text string").write.parquet(str(base / "benchmark.parquet"))
+        want = plain_clean(plain_near_copies(plain_lines(rows)), [TEXTS[8][1]] if rows else [])
+        check_packed(c.run(spark, str(base)), want)
+        assert bool(want) == bool(rows)
+
+
+def test_token_counts_against_offsets(spark):
+    r = random.Random(9)
+    texts = [(i, "".join(r.choice(["word", " ", "\n", "\n\n", "é", "naïve ", "x1", "  ", "\t", "Zürich\n", "天地"]) for _ in range(r.randrange(60)))) for i in range(120)] + [(200, None), (201, "")]
+    enc = packing.encoder().slow()
+    for rule in ("start", "largest"):
+        want = {}
+        for i, t in texts:
+            raw = (t or "").encode()
+            bounds = [0, *(k + 1 for k, x in enumerate(raw) if x == 10), len(raw)]
+            count, at = [0] * (len(bounds) - 1), 0
+            for x in enc.encode(t or "", add_special_tokens=False).ids:
+                end = at + packing.encoder().sizes[x]
+                own = [max(0, min(z, end) - max(a, at)) for a, z in zip(bounds, bounds[1:])]
+                hit = [k for k, y in enumerate(own) if y]
+                count[hit[0] if rule == "start" else max(hit, key=lambda k: (own[k], -k))] += 1
+                at = end
+            assert at == len(raw)
+            want[i] = count
+        df = spark.createDataFrame([(i, t, 1, 2) for i, t in texts], "doc_id long, text string, id int, n_tokens int")
+        assert {x.doc_id: x.section_tokens for x in token_counts.section_tokens(df, rule=rule).collect()} == want
+
+
+def test_nearest_neighbours_beside_other_columns(spark):
+    data = [(i, [float(i % 7), 1.0], i, "x", -i) for i in range(60)]
+    plain = spark.createDataFrame([x[:2] for x in data], "vec_id long, embedding array<float>")
+    wide = spark.createDataFrame(data, "vec_id long, embedding array<float>, id int, v string, cell int")
+    got = [sorted(map(tuple, ann.search(x, F.col("id") % 10 == 0).collect())) for x in (plain, wide)]
+    assert got[0] == got[1] and len(got[0]) == 60
+
+
+def test_repeats_in_very_long_texts(spark):
+    r = np.random.default_rng(5)
+    long = "".join(map(chr, r.integers(97, 123, repeats.SEGMENT + 300_000).tolist()))
+    at = repeats.SEGMENT - 500  # a passage over the border of two segments
+    docs = spark.createDataFrame([(1, long), (2, "x" * 50 + long[at : at + 1000] + "y" * 50), (3, long[:399])], "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in repeats.removed(docs).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {1: (len(long), 1000, 1, sha(long[:at] + long[at + 1000 :])), 2: (1100, 1000, 1, sha("x" * 50 + "y" * 50)), 3: (399, 0, 0, sha(long[:399]))}
+
+
+@pytest.mark.parametrize("name", ["op1_decontamination", "op2_line_dedup", "op3_ngram_jaccard", "op10_repeats"])
+def test_query_against_sql(spark, name):
+    import duckdb
+
+    from sylvanite import llm
+
+    con, base = duckdb.connect(), "/root/testdata/sf0.001"
+    for x in ("documents", "benchmark"):
+        con.execute(f"create view {x} as select * from '{base}/{x}.parquet'")
+    a, b = llm.queries()[name](spark, base).toPandas(), con.execute(llm.oracle_sql()[name]).df()
+    columns = sorted(a.columns)
+    assert columns == sorted(b.columns) and sorted(map(str, a[columns].values.tolist())) == sorted(map(str, b[columns].values.tolist()))
