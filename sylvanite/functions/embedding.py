@@ -5,7 +5,7 @@ Null labels match every label. All sampled tests err on one side: a reported mat
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import defaultdict, deque
 from math import perm
 
 from .kernels import _labelled, adjacency, bicomponents, component_ids, contains, renumbered, same, spanning_trees, wilson
@@ -200,6 +200,60 @@ class LocalTrees:
         return place(0)
 
 
+class Whole:
+    """A graph asked for trees by backtracking, in place of its local trees."""
+
+    def __init__(self, labels, edges):
+        self.graph = labels, edges
+
+    def holds(self, pattern_labels, pattern_edges) -> bool:
+        return contains(*self.graph, pattern_labels, pattern_edges)
+
+
+def max_flow(n: int, arcs, source: int, sink: int) -> int:
+    """The greatest flow from source to sink over arcs (from, to, capacity): excess is pushed downhill, vertices are raised where it stands."""
+    room: list[dict[int, int]] = [{} for _ in range(n)]
+    for a, b, c in arcs:
+        room[a][b] = room[a].get(b, 0) + c
+        room[b].setdefault(a, 0)
+    height, excess = [0] * n, [0] * n
+    height[source], excess[source] = n, sum(room[source].values())
+    active = deque([source])
+
+    def push(v, w):
+        by = min(excess[v], room[v][w])
+        room[v][w] -= by
+        room[w][v] += by
+        excess[v] -= by
+        if by and not excess[w] and w not in (source, sink):
+            active.append(w)
+        excess[w] += by
+
+    active.clear()
+    for w in list(room[source]):
+        push(source, w)
+    while active:
+        v = active.popleft()
+        while excess[v]:
+            for w in room[v]:
+                if excess[v] and room[v][w] and height[v] == height[w] + 1:
+                    push(v, w)
+            if excess[v]:
+                height[v] = 1 + min(height[w] for w in room[v] if room[v][w])
+    return excess[sink]
+
+
+def matching_reaches(options: list[list[int]], least: int) -> bool:
+    """Whether `least` of the lists get different items, given up as soon as too many have failed."""
+    chosen: list[list[int]] = []
+    for k, o in enumerate(options):
+        if len(chosen) >= least or len(chosen) + len(options) - k < least:
+            break
+        if matching([*chosen, o]) is not None:
+            chosen.append(o)
+    return len(chosen) >= least
+
+
 def hops(labels, edges, pattern_labels, pattern_edges, rng, how: str = "maximum", root: int | None = None, down=None) -> int:
     """One random trial: 0 on failure, else an estimate of the number of embeddings (1 for the plain variants).
 

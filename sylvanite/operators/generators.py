@@ -6,7 +6,7 @@ import math
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..sources.graphs import GRAPH
 
@@ -132,6 +132,11 @@ def chains(spark: SparkSession, count: int, blocks: int, size: int, p: float, la
     return _collection(spark, count, seed, draw)
 
 
+def integer_noise(column: str, sigma: float, seed: int = 0) -> Column:
+    """A whole number moved by a normal step, rounded towards zero."""
+    return (F.col(column) + (F.randn(seed) * sigma).cast("long")).cast("long")
+
+
 def joined_up(graphs: DataFrame, label: str = "1", seed: int = 0) -> DataFrame:
     """Every vertex without an edge gets one to a random other vertex."""
 

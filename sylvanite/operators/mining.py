@@ -72,6 +72,14 @@ def _local(labels, edges, rng, i):
     return embedding.LocalTrees(labels, edges, max(1, int(i)), rng)
 
 
+def _every_local(labels, edges, rng, i):
+    """All local trees; a graph with too many to list is searched itself, which gives the same answers."""
+    try:
+        return embedding.LocalTrees(labels, edges)
+    except OverflowError:
+        return embedding.Whole(labels, edges)
+
+
 def _resampled(g, p, rng, i, least):
     return int(embedding.LocalTrees(*g, max(1, int(i)), rng).holds(*p))
 
@@ -97,7 +105,7 @@ OPERATORS = {
     "hops_simple": Operator(_hops("simple"), aliases=("probabilisticTreeSamplingFK",)),
     "hops_simplerandom": Operator(_hops("random"), aliases=("probabilisticTreeSamplingFKR",)),
     "hops_simplematching": Operator(_hops("matching"), aliases=("probabilisticTreeSamplingFKM",)),
-    "localEasy": Operator(_subtree),
+    "localEasy": Operator(lambda g, p, rng, i, least: int(g.holds(*p)), begin=_every_local),
     "bps": Operator(lambda g, p, rng, i, least: int(g.holds(*p)), begin=_local, aliases=("localEasySampling",)),
     "bps_resampling": Operator(_resampled, apriori=False, aliases=("localEasyResampling",)),
     "treeEnumeration": Operator(lambda g, p, rng, i, least: 1, apriori=False),

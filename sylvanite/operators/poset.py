@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from ..functions import embedding, kernels, structure
-from .mining import _parents, _triples
+from .mining import _every_local, _parents, _triples
 
 
 class Poset:
@@ -91,6 +91,11 @@ class Poset:
                 out.append(chain)
         return out
 
+    def covers(self, chains: list[list[int]]) -> bool:
+        """Whether the chains are chains of the order and hold every pattern once."""
+        joined = all(b in self.ups[a] for chain in chains for a, b in zip(chain, chain[1:]))
+        return joined and sorted(k for chain in chains for k in chain) == list(range(len(self.patterns)))
+
     def border(self, held: set[int]) -> int:
         """Held patterns all of whose direct superpatterns in the order are not held."""
         return sum(not any(x in held for x in self.above[k]) for k in held)
@@ -166,8 +171,8 @@ def _tester(poset: Poset, how: str, labels, edges, i, rng):
             return held >= i if how == "abs" else parts > 0 and held / parts >= i
 
         return count
-    if how == "local" and int(i) > 0:
-        local = embedding.LocalTrees(labels, edges, int(i), rng)
+    if how == "local":
+        local = embedding.LocalTrees(labels, edges, int(i), rng) if int(i) > 0 else _every_local(labels, edges, rng, i)
         return lambda k: local.holds(*trees[k])
     if how == "local_resampled":
         return lambda k: embedding.LocalTrees(labels, edges, max(1, int(i)), rng).holds(*trees[k])
@@ -209,15 +214,15 @@ def permutations(n: int, count: int, seed: int = 0) -> list[list[int]]:
     return [rng.sample(range(n), n) for _ in range(count)]
 
 
-def sketch(graphs: DataFrame, patterns: list[str], method: str, k: int, i: float = 0, seed: int = 0) -> DataFrame:
-    """(graph_id, sketch array<int>, tests).
+def sketch(graphs: DataFrame, patterns: list[str], method: str, k: int, i: float = 0, seed: int = 0, orders: list[list[int]] | None = None) -> DataFrame:
+    """(graph_id, sketch array<int>, tests). orders: the permutations to use in place of k random ones.
 
     minHash*: for each of k permutations without superpatterns of earlier entries, the place of the first pattern held
     (-1: none). dotApprox*: of k random patterns, 1, -1 or 0 (unknown) for every pattern. randomProjection*: 0 or 1 for
     each of the k."""
     how, poset = SKETCHES[method], Poset(patterns)
     if method.startswith("minHash"):
-        plan = [poset.shrunk(p) for p in permutations(len(patterns), k, seed)]
+        plan = [poset.shrunk(p) for p in orders or permutations(len(patterns), k, seed)]
     else:
         plan = sorted(random.Random(seed).sample(range(len(patterns)), min(k, len(patterns))))
     shared = graphs.sparkSession.sparkContext.broadcast((poset, plan))

@@ -139,6 +139,21 @@ def _poset(s, d):
     return held.agg(F.array_join(F.array_sort(F.collect_list("cstring")), "|").alias("patterns"))
 
 
+#: slots of the sketch: patterns, numbered from 1 by size and name, in the order of number * slot modulo a prime
+SLOTS, PRIME = (1234, 5678, 777, 4321), 10007
+
+
+def _min_hash(s, d):
+    g = graphs(s, d, "session")
+    patterns = sorted(r["cstring"] for r in mining.mine(g, _threshold(g), PATTERN)[0].select("cstring").collect())
+    order = poset.Poset(patterns)
+    orders = [sorted(range(len(patterns)), key=lambda k: (k + 1) * x % PRIME) for x in SLOTS]
+    places = [(j, at, order.patterns[k]) for j, p in enumerate(orders) for at, k in enumerate(order.shrunk(p))]
+    names = s.createDataFrame(places, "slot int, place int, cstring string")
+    slots = poset.sketch(g, patterns, "minHash", len(orders), orders=orders).select("graph_id", F.posexplode("sketch").alias("slot", "place"))
+    return slots.join(F.broadcast(names), ["slot", "place"]).select("graph_id", F.col("slot").cast("long").alias("slot"), "cstring")
+
+
 def _numbered(s, d):
     """The mined patterns, numbered from 1 by name."""
     g = graphs(s, d, "session")
@@ -150,6 +165,10 @@ def _numbered(s, d):
 _NUMBERED = _TREES + ", num AS (SELECT cstring, support, row_number() OVER (ORDER BY cstring) AS number FROM found WHERE size <= 3)"
 
 
+def _held_numbers(s, d):
+    return _numbered(s, d)[2].groupBy("graph_id").agg(F.collect_list("number").alias("features"))
+
+
 def _posting_lines(s, d):
     _, _, rows = _numbered(s, d)
     return io.posting_lines(rows.select(F.col("number").alias("pattern_id"), "graph_id")).select("value")
@@ -256,6 +275,9 @@ QUERIES = {
     "cyclic_patterns_session": (_patterns("all"), with_views("session", _FOREST + _CYCLE_NAMES + " UNION ALL" + _TREE_NAMES)),
     "cycle_patterns_session": (_patterns("cycles"), with_views("session", _BLOCKS + _CYCLE_NAMES)),
     "tree_patterns_session": (_patterns("trees"), with_views("session", _FOREST + _TREE_NAMES)),
+    "min_hash_session": (_min_hash, with_views("session", _TREES + f", num AS (SELECT cstring, row_number() OVER (ORDER BY size, cstring) AS number FROM found) SELECT graph_id, CAST(slot AS BIGINT) AS slot, arg_min(cstring, number * x % {PRIME}) AS cstring FROM hit JOIN num USING (cstring), (SELECT unnest(range({len(SLOTS)})) AS slot, unnest({list(SLOTS)}) AS x) AS s GROUP BY 1, 2")),
+    "mine_localEasy_session": (_mined("localEasy"), with_views("session", _TREES + " SELECT CAST(size AS INTEGER) AS size, cstring, support FROM found")),
+    "feature_lines_session": (lambda s, d: io.array_lines(_held_numbers(s, d), "features", "graph_id", True), with_views("session", _NUMBERED + " SELECT concat_ws(' ', graph_id, string_agg(concat(number, ':1'), ' ' ORDER BY number)) AS value FROM hit JOIN num USING (cstring) GROUP BY graph_id")),
     "posting_lines_session": (_posting_lines, with_views("session", _NUMBERED + " SELECT concat(number, ': ', string_agg(CAST(graph_id AS VARCHAR), ' ' ORDER BY graph_id)) AS value FROM hit JOIN num USING (cstring) GROUP BY number")),
     "sparse_lines_session": (_sparse_lines, with_views("session", _NUMBERED + " SELECT g.graph_id, concat(g.graph_id % 3, ' ', coalesce(string_agg(concat(number, ':1'), ' ' ORDER BY number), '')) AS value FROM (SELECT DISTINCT graph_id FROM v) AS g LEFT JOIN (SELECT graph_id, number FROM hit JOIN num USING (cstring)) AS x USING (graph_id) GROUP BY g.graph_id")),
     "pattern_lines_session": (_pattern_lines, with_views("session", _NUMBERED + " SELECT concat(support + 1, chr(9), number, chr(9), cstring) AS value FROM num")),

@@ -121,3 +121,10 @@ def posting_lines(support: DataFrame) -> DataFrame:
     """(pattern_id, graph_id) as 'patternId: graphId graphId ...'."""
     ids = F.concat_ws(" ", F.transform(F.sort_array(F.collect_list("graph_id")), lambda x: x.cast("string")))
     return support.groupBy("pattern_id").agg(F.concat(F.col("pattern_id").cast("string"), F.lit(": "), ids).alias("value"))
+
+
+def array_lines(rows: DataFrame, column: str, name: str | None = None, sparse: bool = False) -> DataFrame:
+    """Arrays of whole numbers as lines of `value`, behind 'name ' where a column is named; sparse: sorted, as 'k:1'."""
+    items = F.transform(F.sort_array(column) if sparse else F.col(column), lambda x: F.concat(x.cast("string"), F.lit(":1" if sparse else "")))
+    line = F.concat_ws(" ", items)
+    return rows.select((F.concat_ws(" ", F.col(name).cast("string"), line) if name else line).alias("value"))

@@ -63,6 +63,19 @@ def test_cycles_of_a_length():
         assert sorted(k.simple_cycles(6, edges, n)) == sorted(c for c in every if len(c) == n)
 
 
+def test_flow_is_matching_and_least_cut():
+    r = random.Random(12)
+    for _ in range(150):
+        options = [[x for x in range(5) if r.random() < 0.4] for _ in range(5)]
+        arcs = [(0, 1 + k, 1) for k in range(5)] + [(1 + k, 6 + x, 1) for k, o in enumerate(options) for x in o] + [(6 + x, 11, 1) for x in range(5)]
+        best = em.matching_size(options)
+        assert em.max_flow(12, arcs, 0, 11) == best and [em.matching_reaches(options, k) for k in range(6)] == [k <= best for k in range(6)]
+        n = 6
+        arcs = [(a, b, r.randrange(1, 9)) for a in range(n) for b in range(n) if a != b and r.random() < 0.4]
+        cut = min(sum(c for a, b, c in arcs if (a == 0 or m >> a & 1) and not (b == 0 or m >> b & 1)) for m in range(0, 1 << n - 1, 2))
+        assert em.max_flow(n, arcs, 0, n - 1) == cut
+
+
 def test_local_trees_against_all_spanning_trees():
     r = random.Random(2)
     for _ in range(150):
@@ -192,6 +205,12 @@ def test_mining_with_every_operator(spark, name):
         assert all(found[c] <= exact[c] for c in found)
 
 
+def test_chain_cover_covers():
+    order = poset.Poset(["a ", "b ", "a ( 1 b ) ", "a ( 1 a ) ", "b ( 1 a ) ( 1 a ) "])
+    cover = order.chain_cover()
+    assert order.covers(cover) and not order.covers(cover[1:]) and not order.covers([*cover, cover[0]]) and not order.covers([list(range(5))])
+
+
 def test_every_poset_method_agrees(spark):
     g = generators.random_trees(spark, 10, 7, labels=2, seed=6)
     patterns = sorted(r.cstring for r in mining.frequent_subtrees(g, 3, 4).collect())
