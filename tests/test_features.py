@@ -123,8 +123,8 @@ def test_streamed_filter_is_the_batch_filter(spark, tmp_path):
 
 def test_lines_of_numbers_and_whole_noise(spark):
     df = spark.createDataFrame([(1, [3, 1]), (2, []), (3, None)], "id int, x array<int>")
-    assert [r.value for r in graphs.array_lines(df.where("id < 3"), "x", "id").collect()] == ["1 3 1", "2 "]
-    assert [r.value for r in graphs.array_lines(df, "x", sparse=True).collect()] == ["1:1 3:1", "", ""]
-    moved = spark.range(4000).select(generators.integer_noise("id", 10.0).alias("y"), "id").toPandas()
+    assert [r.value for r in io.array_lines(df.where("id < 3"), "x", "id").collect()] == ["1 3 1", "2 "]
+    assert [r.value for r in io.array_lines(df, "x", sparse=True).collect()] == ["1:1 3:1", "", ""]
+    moved = spark.range(4000).select(gen.integer_noise("id", 10.0).alias("y"), "id").toPandas()
     d = moved.y - moved.id
     assert abs(d.mean()) < 1 and 8 < d.std() < 11
