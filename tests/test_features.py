@@ -119,8 +119,6 @@ def test_streamed_filter_is_the_batch_filter(spark, tmp_path):
     assert gs.stream_support(g).count() > 0
 
 
-
-
 def test_lines_of_numbers_and_whole_noise(spark):
     df = spark.createDataFrame([(1, [3, 1]), (2, []), (3, None)], "id int, x array<int>")
     assert [r.value for r in io.array_lines(df.where("id < 3"), "x", "id").collect()] == ["1 3 1", "2 "]
