@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..operators import measures, mining, pattern_kernels, poset
 from ..operators._session import cut
 from ..sources import formats, graphs as io
-from .bridge import graphs, with_views
+from ..streaming import graph_stream
+from .bridge import _SESSIONS, graphs, with_views
 
 #: share of the sessions that a frequent pattern is in, in percent
 SHARE = 2
@@ -218,6 +219,21 @@ def _days(s, d):
     return e.groupBy(F.window("ts", "6 hours").alias("w"), "event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.dayofweek("w.start").cast("long").alias("weekday"), "event_type", "events", "total")
 
 
+_START = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss").alias("start")
+
+
+def _session_windows(s, d):
+    """The session graphs of the stream operator, over the table."""
+    g = graph_stream.session_graphs(s.read.parquet(f"{d}/events.parquet"))
+    links = F.array_join(F.transform("edges", lambda e: F.concat_ws("-", e["src"], e["dst"], e["label"])), " ")
+    return g.select(F.col("user_id").cast("long").alias("user_id"), _START("start"), F.array_join("vlabels", " ").alias("labels"), links.alias("links"))
+
+
+def _sliding(s, d):
+    e = s.read.parquet(f"{d}/events.parquet")
+    return graph_stream.windowed_support(e, "6 hours", "3 hours").select(_START("start"), "event_type", "events")
+
+
 def _last_view(s, d):
     """Each purchase with the user's last view before it: an as-of join by one window instead of a join."""
     e = s.read.parquet(f"{d}/events.parquet").where("event_type in ('view', 'purchase')")
@@ -291,6 +307,9 @@ QUERIES = {
     "sampled_trees_session": (_sampled, None),
     "label_rollup_session": (_rollup, with_views("session", "SELECT CAST(coalesce(graph_id % 3, -1) AS BIGINT) AS third, coalesce(label, 'all') AS label, count(*) AS vertices, grouping_id(graph_id % 3, label) AS level FROM v GROUP BY ROLLUP (graph_id % 3, label)")),
     "event_windows": (_days, "SELECT strftime(time_bucket(INTERVAL '6' HOUR, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M:%S') AS start, CAST(dayofweek(time_bucket(INTERVAL '6' HOUR, ts, TIMESTAMP '1970-01-01')) + 1 AS BIGINT) AS weekday, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3"),
+    "session_windows": (_session_windows, with_views("session", f""", t AS (SELECT graph_id, min(ts) AS start FROM ({_SESSIONS}) AS s GROUP BY 1), vl AS (SELECT graph_id, string_agg(label, ' ' ORDER BY vid) AS labels FROM v GROUP BY 1), el AS (SELECT graph_id, string_agg(concat(src, '-', dst, '-', label), ' ' ORDER BY src, dst) AS links FROM e GROUP BY 1)
+        SELECT CAST(graph_id // 10000 AS BIGINT) AS user_id, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, labels, coalesce(links, '') AS links FROM t JOIN vl USING (graph_id) LEFT JOIN el USING (graph_id)""")),
+    "sliding_windows": (_sliding, "SELECT strftime(w - k * INTERVAL '3' HOUR, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS events FROM (SELECT time_bucket(INTERVAL '3' HOUR, ts, TIMESTAMP '1970-01-01') AS w, event_type FROM events) AS e, UNNEST(range(2)) AS t(k) GROUP BY 1, 2"),
     "last_view": (_last_view, "SELECT event_id, coalesce((SELECT arg_max(b.event_id, (b.ts, b.event_id)) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'view' AND (b.ts < a.ts OR (b.ts = a.ts AND b.event_id < a.event_id))), -1) AS view_id FROM events a WHERE event_type = 'purchase'"),
     "errors_after_purchase": (_near_errors, "SELECT a.event_id AS purchase_id, b.event_id AS error_id FROM events a JOIN events b ON b.user_id = a.user_id AND b.event_type = 'error' AND b.ts >= a.ts AND b.ts < a.ts + INTERVAL '1' HOUR WHERE a.event_type = 'purchase'"),
 }
