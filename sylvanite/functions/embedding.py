@@ -59,7 +59,9 @@ def subtree_in_forest(labels, edges, pattern_labels, pattern_edges) -> bool:
 
 
 def parents(n: int, edges) -> list[int]:
-    """Of a forest: each vertex's parent; the root of a component is its least vertex, -1 there."""
+    """Of a forest: each vertex's parent; the root of a component is its least vertex, -1 there. Raises on cycles."""
+    if not is_forest(n, edges):
+        raise ValueError("rooted trees are asked of forests only")
     near, up = adjacency(n, edges), [-1] * n
     for root in sorted(set(component_ids(n, edges))):
         order = [root]
@@ -102,6 +104,37 @@ def subtree(labels, edges, pattern_labels, pattern_edges) -> bool:
     return test(labels, edges, pattern_labels, pattern_edges)
 
 
+class Shared:
+    """A graph asked for many tree patterns: a rooted branch is compared once with each place, whichever patterns have it.
+
+    So a pattern one leaf larger than others costs only the branches that this leaf changes. Exact: forests by matchings of
+    branches, other graphs by backtracking."""
+
+    def __init__(self, labels, edges):
+        self.labels, self.edges, self.known = labels, edges, {}
+        self.near = _labelled(len(labels), edges) if is_forest(len(labels), [e[:2] for e in edges]) else None
+
+    def holds(self, pattern_labels, pattern_edges) -> bool:
+        if not pattern_labels:
+            return True
+        if self.near is None:
+            return contains(self.labels, self.edges, pattern_labels, pattern_edges)
+        near = _labelled(len(pattern_labels), pattern_edges)
+
+        def branch(p, up):
+            return pattern_labels[p], tuple(sorted(((x, branch(w, p)) for w, x in near[p] if w != up), key=repr))
+
+        whole = branch(0, -1)
+        return any(self._fits(whole, v, -1) for v in range(len(self.labels)))
+
+    def _fits(self, branch, v, came) -> bool:
+        key = branch, v, came
+        if key not in self.known:
+            label, kids = branch
+            self.known[key] = same(label, self.labels[v]) and (not kids or matching([[w for w, y in self.near[v] if w != came and same(x, y) and self._fits(kid, w, v)] for x, kid in kids]) is not None)
+        return self.known[key]
+
+
 def important(labels, edges, pattern_labels, pattern_edges) -> tuple[int, int]:
     """Connected components that hold the pattern, and all."""
     parts = split_components(labels, edges)

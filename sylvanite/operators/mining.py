@@ -95,7 +95,7 @@ def _rooted_hops(g, p, rng, i, least):
 #: the embedding operators by name
 OPERATORS = {
     "subtree": Operator(_subtree),
-    "subtree_iterative": Operator(_subtree, aliases=("iterative",)),
+    "subtree_iterative": Operator(lambda g, p, rng, i, least: int(g.holds(*p)), begin=lambda labels, edges, rng, i: embedding.Shared(labels, edges), aliases=("iterative",)),
     "subtree_relimp": Operator(_relative, aliases=("relImp",)),
     "subtree_absimp": Operator(_absolute, aliases=("absImp",)),
     "exactGlobalTreeEnumeration": Operator(_subtree, prepare="all"),
@@ -204,10 +204,11 @@ def _pass(state: DataFrame, candidates, op: Operator, i, least, seed) -> DataFra
     return state.mapInPandas(run, STATE)
 
 
-def mine(graphs: DataFrame, threshold: int, max_size: int, name: str = "subtree", i: float = 1, least: int = 1, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def mine(graphs: DataFrame, threshold: int, max_size: int, name: str = "subtree", i: float = 1, least: int = 1, seed: int = 0, roots: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(patterns, postings): patterns (pattern_id, size, cstring, support) of up to max_size vertices with support of at
     least `threshold`, and (pattern_id, graph_id, found). Support is the sum of what the embedding operator finds; `i` is
-    its importance or number of samples, `least` the least count that 'hops_estimate' takes as one."""
+    its importance or number of samples, `least` the least count that 'hops_estimate' takes as one. `roots`: the labels that rooted patterns may
+    have at their root (all)."""
     op, spark = operator(name), graphs.sparkSession
     if op.prepare:
         graphs = spanning_forests(graphs, None if op.prepare == "all" else max(1, int(i)), seed)
@@ -220,7 +221,9 @@ def mine(graphs: DataFrame, threshold: int, max_size: int, name: str = "subtree"
     rows = edge_support(state).where(F.col("support") >= threshold).collect()
     rules = {(r["low"], r["edge_label"], r["high"]) for r in rows}
     rules |= {(b, e, a) for a, e, b in rules}
-    candidates, known, found, postings = sorted(x + " " for x in labels), {}, [], []
+    if roots is not None and not op.rooted:
+        raise ValueError("only rooted patterns keep their root")
+    candidates, known, found, postings = sorted(x + " " for x in labels if roots is None or x in roots), {}, [], []
     for size in range(1, max_size + 1):
         if not candidates:
             break
@@ -243,9 +246,29 @@ def mine(graphs: DataFrame, threshold: int, max_size: int, name: str = "subtree"
     return patterns, every.join(F.broadcast(kept) if len(found) <= BROADCAST else kept, "pattern_id", "left_semi")
 
 
+def mine_by_root(graphs: DataFrame, threshold: int, max_size: int, name: str = "rootedTrees", i: float = 1, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """As `mine` does it for rooted patterns, but in depth: all patterns under one root label before the next one's.
+
+    Growing leaves the root as it is, so that root labels part the patterns: the driver holds one part's candidates
+    at a time. pattern_id runs on from part to part."""
+    graphs = cut(graphs.select("graph_id", "activity", "n", "m", "vlabels", "edges"))
+    labels = sorted(r["label"] for r in vertex_support(graphs).where(F.col("support") >= threshold).collect())
+    parts = [mine(graphs, threshold, max_size, name, i, 1, seed, [x]) for x in labels]
+    if not parts:
+        return mine(graphs, threshold, max_size, name, i, 1, seed, [])
+    before, every, held = 0, None, None
+    for patterns, postings in parts:
+        shift = (F.col("pattern_id") + before).cast("int").alias("pattern_id")
+        last = patterns.agg(F.max("pattern_id")).first()[0] or 0
+        patterns, postings = patterns.select(shift, "size", "cstring", "support"), postings.select(shift, "graph_id", "found")
+        every, held = (patterns, postings) if every is None else (every.unionByName(patterns), held.unionByName(postings))
+        before += last
+    return every, held
+
+
 def frequent_subtrees(graphs: DataFrame, threshold: int, max_size: int) -> DataFrame:
     """(size, cstring, support) of all trees of up to max_size vertices that at least `threshold` graphs contain."""
-    return mine(graphs, threshold, max_size)[0].select("size", "cstring", "support")
+    return mine(graphs, threshold, max_size, "subtree_iterative")[0].select("size", "cstring", "support")
 
 
 def _held(graphs: DataFrame, patterns: list[str], name: str, i: float, seed: int) -> DataFrame:

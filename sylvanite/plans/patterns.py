@@ -28,6 +28,11 @@ def _mine(name: str, i: float):
     return query
 
 
+def _by_root(s, d):
+    g = graphs(s, d, "conv")
+    return mining.mine_by_root(g, -(-g.count() * SHARE // 100), MAX_SIZE)[0].select("size", "cstring", F.col("support").cast("long").alias("support"))
+
+
 def _postings(s, d):
     g = graphs(s, d, "conv")
     patterns, postings = mining.mine(g, -(-g.count() * SHARE // 100), MAX_SIZE)
@@ -131,6 +136,7 @@ _TREES = """, no AS (SELECT graph_id, src, dst, row_number() OVER (PARTITION BY
 
 QUERIES = {
     **{f"mine_{x}": (_mine(x, {"subtree_relimp": 0.5, "subtree_absimp": 1}.get(x, 3)), _sql(x)) for x in mining.OPERATORS},
+    "mine_by_root_conv": (_by_root, with_views("conv", _ROOTED + _FOUND)),
     "postings_conv": (_postings, with_views("conv", _FREE + " SELECT cstring, graph_id FROM hit JOIN found USING (cstring), least WHERE support >= t")),
     "poset_methods_user": (_all_methods, None),
     "poset_sketches_user": (_all_sketches, None),

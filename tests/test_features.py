@@ -1,13 +1,15 @@
+import datetime as dt
 import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from sylvanite.functions import embedding as em
 from sylvanite.functions import kernels as k
 from sylvanite.operators import evaluation as ev
 from sylvanite.operators import generators as gen
-from sylvanite.operators import measures, pattern_kernels as pk
+from sylvanite.operators import measures, mining, pattern_kernels as pk
 from sylvanite.sources import formats as fm
 from sylvanite.sources import graphs as io
 from sylvanite.streaming import graph_stream as gs
@@ -119,6 +121,83 @@ def test_streamed_filter_is_the_batch_filter(spark, tmp_path):
     assert gs.stream_support(g).count() > 0
 
 
+def test_shared_branches_answer_as_the_plain_test():
+    r = random.Random(5)
+    for turn in range(60):
+        n = r.randrange(1, 9)
+        edges = [(a, b, r.choice("xy")) for b in range(1, n) for a in [r.randrange(b)] if r.random() < 0.9]
+        if turn % 3 == 0 and n > 3:
+            edges = sorted({(0, 3, "x"), (0, 1, "x"), (1, 3, "y"), (1, 2, "x")})
+        labels = [r.choice(["a", "b", None]) for _ in range(n)]
+        shared = em.Shared(labels, edges)
+        for _ in range(10):
+            k_ = r.randrange(0, 5)
+            pattern = [r.choice(["a", "b", None]) for _ in range(k_)], [(r.randrange(b), b, r.choice(["x", "y", None])) for b in range(1, k_)]
+            assert shared.holds(*pattern) == em.subtree(labels, edges, *pattern), (labels, edges, pattern)
+    star = em.Shared(["c", "a", "a", "b"], [(0, 1, "x"), (0, 2, "x"), (0, 3, "x")])
+    assert star.holds(["c", "a"], [(0, 1, "x")])
+    before = set(star.known)
+    assert star.holds(["c", "a", "a"], [(0, 1, "x"), (0, 2, "x")])
+    assert {key[0] for key in set(star.known) - before} == {("c", (("x", ("a", ())), ("x", ("a", ()))))}  # the leaf is known
+
+
+def test_mining_root_by_root_is_mining(spark):
+    r, rows = random.Random(3), []
+    for x in range(8):
+        edges = [{"src": r.randrange(b), "dst": b, "label": "1"} for b in range(1, 6)]
+        rows.append((x, 0, 6, 5, [r.choice("ab") for _ in range(6)], edges))
+    g = spark.createDataFrame(rows, io.GRAPH).cache()
+    plain, by_root = (m(g, 2, 4, name="rootedTrees") for m in (mining.mine, mining.mine_by_root))
+    rows = [sorted((r["size"], r.cstring, r.support) for r in x[0].collect()) for x in (plain, by_root)]
+    assert rows[0] == rows[1] and max(r[0] for r in rows[0]) > 1
+    held = [sorted((r.cstring, r.graph_id, r.found) for r in x[1].join(x[0], "pattern_id").collect()) for x in (plain, by_root)]
+    assert held[0] == held[1]
+    assert mining.mine_by_root(g, 100, 4)[0].count() == 0
+    with pytest.raises(ValueError):
+        mining.mine(g, 2, 3, "subtree", roots=["a"])
+    with pytest.raises(ValueError, match="forests only"):
+        em.rooted_subtree(["a"] * 3, [(0, 1, "1"), (0, 2, "1"), (1, 2, "1")], ["a"], [])
+
+
+def _brute_sessions(events):
+    out = []
+    for user in {e[1] for e in events}:
+        own = sorted((ts, k, kind) for k, u, ts, kind in events if u == user)
+        runs = [[own[0]]]
+        for e in own[1:]:
+            if (e[0] - runs[-1][-1][0]).total_seconds() > 12 * 3600:
+                runs.append([])
+            runs[-1].append(e)
+        for run in runs:
+            kinds = [e[2] for e in run]
+            names = sorted(set(kinds))
+            links = {tuple(sorted((names.index(a), names.index(b)))) for a, b in zip(kinds, kinds[1:]) if a != b}
+            out.append((user, run[0][0], names, sorted(links)))
+    return sorted(out)
+
+
+def test_session_graphs_of_a_stream_with_late_events(spark, tmp_path):
+    r, day = random.Random(2), dt.datetime(2024, 1, 1)
+    events = [(k, r.randrange(4), day + dt.timedelta(minutes=r.randrange(7 * 1440)), r.choice(["view", "click", "buy"])) for k in range(150)]
+    schema = "event_id long, user_id long, ts timestamp, event_type string"
+    for name, rows in (("1", events), ("2", [(999, 9, day + dt.timedelta(days=30), "view")]), ("3", [(1000, 1, day + dt.timedelta(days=1), "late")])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        gs.write(gs.session_graphs(stream), str(tmp_path / "out"), str(tmp_path / "ck"), wait=True)
+    got = sorted((x.user_id, x.start, list(x.vlabels), sorted((e.src, e.dst) for e in x.edges)) for x in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == _brute_sessions(events)  # the late event comes to nothing, the last session is still open
+    table = spark.createDataFrame([*events, (1001, None, day, "x"), (1002, 1, None, "x")], schema)
+    assert sorted((x.user_id, x.start) for x in gs.session_graphs(table).collect()) == [x[:2] for x in _brute_sessions(events)]
+    assert gs.session_graphs(table.limit(0)).count() == 0
+
+
+def test_windowed_support(spark):
+    day = dt.datetime(2024, 1, 1)
+    e = spark.createDataFrame([(day + dt.timedelta(hours=h), "a") for h in (0, 5, 6)], "ts timestamp, event_type string")
+    assert sorted((x.start, x.events) for x in gs.windowed_support(e).collect()) == [(day, 2), (day + dt.timedelta(hours=6), 1)]
+    assert sum(x.events for x in gs.windowed_support(e, "6 hours", "3 hours").collect()) == 6
+
+
 def test_lines_of_numbers_and_whole_noise(spark):
     df = spark.createDataFrame([(1, [3, 1]), (2, []), (3, None)], "id int, x array<int>")
     assert [r.value for r in io.array_lines(df.where("id < 3"), "x", "id").collect()] == ["1 3 1", "2 "]
