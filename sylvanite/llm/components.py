@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ._run import cut, parallelism
 
 LINK = "a long, b long"
+#: so many links (16 MB) are less than what a task holds anyway, and are finished in one
+FEW = 1 << 20
 
 
 def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,13 +50,31 @@ def _stars(limit: int = 1 << 20):
     return run
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the links (a, b): root is the least node reachable. Alternates star
-    operations on the shuffled links with a contraction inside each partition, until all links are stars. Links are
-    summed by node before a shuffle, never gathered; rounds are cut by checkpoints."""
+def _finished(batches):
+    """All links in; every node and the least node it is connected to out."""
+    sides = [(np.asarray(x.column(0)), np.asarray(x.column(1))) for x in batches if x.num_rows]
+    if not sides:
+        return
+    nodes, root = _roots(*(np.concatenate(x) for x in zip(*sides)))
+    for k in range(0, len(nodes), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[k : k + (1 << 16)]), pa.array(root[k : k + (1 << 16)])], ["node", "root"])
+
+
+def components(links: DataFrame, rounds: int = 60, few: int = FEW) -> DataFrame:
+    """(node, root) for every node of the links (a, b), which are read several times: root is the least node reachable.
+    Alternates star operations on the shuffled links with a contraction inside each partition, until all links are
+    stars or no more than `few` are left, which one task finishes: a round deals them out a dozen times, and its files
+    and tasks cost the same for a handful. More links are summed by node before a shuffle, never gathered; rounds are
+    cut by checkpoints."""
     n = parallelism(links)
-    now = cut(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).mapInArrow(_stars(), LINK))
+    finish = lambda x: x.select("a", "b").coalesce(1).mapInArrow(_finished, "node long, root long")
+    links = links.where("a <> b")
+    if links.count() <= few:
+        return finish(links)
+    now = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).mapInArrow(_stars(), LINK))
     for _ in range(rounds):
+        if now.count() <= few:
+            return finish(now)
         # every node that hangs at several roots ties them together; a root that hangs itself passes its leaves up
         best = now.groupBy("b").agg(F.min("a").alias("m"), F.max("a").alias("x"))
         hang = best.select(F.col("b").alias("p"), F.col("m").alias("up"))

@@ -454,7 +454,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         rest = more.join(top.select("a", "b"), ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
         rest = cut(rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")))
     if rest.take(1):
-        roots = cut(components(links.union(_verify(rest.select("a", "b"), source, k, num, den))))
+        roots = cut(components(links.union(cut(_verify(rest.select("a", "b"), source, k, num, den)))))
     last = roots
 
     own = F.when(F.col("n") > 0, F.coalesce("root", "node")).otherwise(None).alias("comp")

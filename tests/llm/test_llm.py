@@ -544,3 +544,23 @@ def test_query_against_sql(spark, name):
     a, b = llm.queries()[name](spark, base).toPandas(), con.execute(llm.oracle_sql()[name]).df()
     columns = sorted(a.columns)
     assert columns == sorted(b.columns) and sorted(map(str, a[columns].values.tolist())) == sorted(map(str, b[columns].values.tolist()))
+
+
+def test_components_of_few_links_are_not_dealt_out(spark):
+    from sylvanite.llm._run import cut
+    from sylvanite.llm.components import components
+
+    r = random.Random(3)
+    order = r.sample(range(-500, 500), 1000)
+    pairs = [*zip(order[:600], order[1:600]), *zip(order[600:], order[601:]), *((order[0], r.choice(order[:600])) for _ in range(200)), (7000, 7000)]
+    least = {x: min(part) for part in (order[:600], order[600:]) for x in part}
+    links = cut(spark.createDataFrame([(b, a) if r.random() < 0.5 else (a, b) for a, b in pairs], "a long, b long").repartition(8))
+    sc = spark.sparkContext
+    for group, few in (("dealt", 0), ("few", None)):
+        sc.setJobGroup(group, group)
+        rows = components(links, **({} if few is None else {"few": few})).collect()
+        assert dict(map(tuple, rows)) == least and len(rows) == len(least)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert not components(links.limit(0)).count()
+    # a count and the result itself; rounds over the shuffled links took over ten jobs
+    assert len(sc.statusTracker().getJobIdsForGroup("few")) <= 4 < 10 < len(sc.statusTracker().getJobIdsForGroup("dealt"))
